@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = "exact_dedup".split()
+MODULES = "exact_dedup sharding url_filter mixing".split()
 
 
 def queries() -> dict:
