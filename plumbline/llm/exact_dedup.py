@@ -19,7 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, table, text_of
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state. Space isn't allocated ahead: with many stores of little state each, that would be most of the disk used.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -60,9 +66,9 @@ class KeyedState:
         folders = sorted({f.rsplit("/", 1)[0] for f in log.inputFiles()})
         if not folders:
             return
-        old = {k: self.spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled")}
-        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-        self.spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+        old = {k: self.spark.conf.get(k, None) for k in STATE_CONF}
+        for k, v in STATE_CONF.items():
+            self.spark.conf.set(k, v)
         try:
             stream = self.spark.readStream.schema(log.schema).parquet("{" + ",".join(folders) + "}" if len(folders) > 1 else folders[0])
             seen = stream.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("stays"))
