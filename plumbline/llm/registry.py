@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = "exact_dedup sharding url_filter mixing".split()
+MODULES = "toxicity packing minhash language_id fertility exact_dedup url_filter mixing sharding".split()
 
 
 def queries() -> dict:
