@@ -2,11 +2,11 @@
 
 A public vocabulary with byte fallback reads every word of a text. Three figures come of it: characters per token (low for
 text the vocabulary doesn't know, as noise, codes or broken encoding), the share of byte-fallback tokens, and the entropy of
-the token distribution in bits (low for repetition). A text is rejected if a figure lies outside the band of its group: its
-language if known, else its script. Bands are set from all texts of the group that pass the base rules: the median and the
-median deviation from it of each figure, `width` deviations to either side, never narrower than `floor`. Entropy grows with
-length, so it is compared with what the text's number of tokens allows: bits / log2(tokens). Texts under `min_tokens` tokens
-and groups under `min_group` texts are judged by the base rules alone.
+the token distribution in bits (low for repetition and for signs strewn between words). A text is rejected if a figure lies
+outside the band of its group. The entropy grows with length, so a group is a language, where it is known, else a script,
+and a length class of half a power of two in tokens. Bands are set from all texts of the group that pass the base rules: the
+median, WIDTH times the median deviation from it to either side, but FLOOR at least. Texts under `min_tokens` tokens and groups
+under `min_group` texts are judged by the base rules alone.
 
 Base rules: words are `[^\\x20\\x09-\\x0D]+`; a text fails with under 50 words, or if over half of its words lie in 3-word windows
 that occur twice or more in it (the first occurrence too). Null text has no words. Empty texts fail. Rows and other columns pass as they are.
@@ -14,7 +14,6 @@ that occur twice or more in it (the first occurrence too). Null text has no word
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,10 +32,11 @@ OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 SYMBOLS = "#*$%&|<>"
 #: Ranges that name a script, by first and last code point.
 SCRIPTS = (("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7AF))
-FIGURES = ("chars_per_token", "byte_share", "entropy_ratio")
-#: Least half-width of a band, for each figure.
-FLOOR = {"chars_per_token": 0.6, "byte_share": 0.06, "entropy_ratio": 0.15}
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, entropy_ratio double, script string"
+FIGURES = ("chars_per_token", "byte_share", "entropy")
+#: Median deviations below and above the median that the band reaches, and its least half-widths.
+WIDTH = {"chars_per_token": (12, 12), "byte_share": (12, 12), "entropy": (7.5, 12)}
+FLOOR = {"chars_per_token": (0.45, 0.45), "byte_share": (0.06, 0.06), "entropy": (0.4, 0.8)}
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, script string"
 
 
 def words_of(text: str) -> list[str]:
@@ -89,11 +89,10 @@ def measure(texts: list[str], bpe: PieceBpe) -> list[tuple]:
             c = np.bincount(a)
             share = float(c[: bpe.size][bpe.bytes[: len(c)]].sum()) / n
             c = c[c > 0] / n
-            h = float(-(c * np.log2(c)).sum())
-            ratio = h / math.log2(n) if n > 1 else 1.0
+            h = abs(float((c * np.log2(c)).sum()))
         else:
-            share, h, ratio = 0.0, 0.0, 0.0
-        out.append((len(w), chars, sum(map(t.count, SYMBOLS)), dup_lines(t), repeat_words(w), n, chars / n if n else 0.0, share, h, ratio, script_of(t)))
+            share, h = 0.0, 0.0
+        out.append((len(w), chars, sum(map(t.count, SYMBOLS)), dup_lines(t), repeat_words(w), n, chars / n if n else 0.0, share, h, script_of(t)))
     return out
 
 
@@ -119,23 +118,24 @@ def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def bands(m: DataFrame, width: float, min_tokens: int, min_group: int) -> DataFrame:
+def bands(m: DataFrame, min_tokens: int, min_group: int) -> DataFrame:
     """grp, and lo_ / hi_ of each figure: median and median deviation over all measured texts that pass the base rules."""
     good = m.filter(~F.col("base_failed") & (F.col("n_tokens") >= min_tokens))
     mid = good.groupBy("grp").agg(F.count(F.lit(1)).alias("__n"), *[F.percentile_approx(f, 0.5, 1000).alias(f"mid_{f}") for f in FIGURES]).filter(F.col("__n") >= min_group)
     dev = good.join(mid, "grp").groupBy("grp").agg(
         *[F.first(f"mid_{f}").alias(f"mid_{f}") for f in FIGURES], *[F.percentile_approx(F.abs(F.col(f) - F.col(f"mid_{f}")), 0.5, 1000).alias(f"dev_{f}") for f in FIGURES]
     )
-    half = {f: F.greatest(F.col(f"dev_{f}") * width, F.lit(FLOOR[f])) for f in FIGURES}
-    return dev.select("grp", *[(F.col(f"mid_{f}") - half[f]).alias(f"lo_{f}") for f in FIGURES], *[(F.col(f"mid_{f}") + half[f]).alias(f"hi_{f}") for f in FIGURES])
+    reach = lambda f, side: F.greatest(F.col(f"dev_{f}") * WIDTH[f][side], F.lit(FLOOR[f][side]))
+    return dev.select("grp", *[(F.col(f"mid_{f}") - reach(f, 0)).alias(f"lo_{f}") for f in FIGURES], *[(F.col(f"mid_{f}") + reach(f, 1)).alias(f"hi_{f}") for f in FIGURES])
 
 
-def judge(docs: DataFrame, key: str = "doc_id", lang_col: str | None = "lang", *, width: float = 12.0, min_tokens: int = 100, min_group: int = 30, folder: str | None = None) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", lang_col: str | None = "lang", *, min_tokens: int = 100, min_group: int = 30, folder: str | None = None) -> DataFrame:
     """Per row: the key, all measures, base_failed, outside (names of the figures out of band) and kept. Keys may repeat."""
     m = measured(docs, key, lang_col, folder)
-    m = m.withColumns({"base_failed": base_failed(), "grp": F.coalesce("lang", F.concat(F.lit("script:"), "script"))})
+    half_power = F.floor(2 * F.log2(F.greatest("n_tokens", F.lit(1)))).cast("string")
+    m = m.withColumns({"base_failed": base_failed(), "grp": F.concat_ws("/", F.coalesce("lang", F.concat(F.lit("script:"), "script")), half_power)})
     m = table(m, "fertility")
-    b = table(bands(m, width, min_tokens, min_group), "fertility-bands")
+    b = table(bands(m, min_tokens, min_group), "fertility-bands")
     out = [F.when((F.col("n_tokens") >= min_tokens) & ((F.col(f) < F.col(f"lo_{f}")) | (F.col(f) > F.col(f"hi_{f}"))), F.lit(f)) for f in FIGURES]
     j = m.join(b, "grp", "left").withColumn("outside", F.array_compact(F.array(*out)))
     cols = [c for c in m.columns if c not in ("key", "grp")]
