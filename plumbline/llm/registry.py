@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = "toxicity packing minhash language_id fertility exact_dedup url_filter mixing sharding".split()
+MODULES = "toxicity packing minhash language_id fertility exact_dedup html_extract url_filter mixing sharding".split()
 
 
 def queries() -> dict:
