@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table, text_of
+from .common import fresh_path, has_rows, table, text_of
 
 #: Disk-backed state. Space isn't allocated ahead: with many stores of little state each, that would be most of the disk used.
 STATE_CONF = {
@@ -33,7 +33,7 @@ def sha256(text: Column) -> Column:
 
 
 def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(docs with __file and __row, table of digest, id, locator). The locator is file and row index in it.
+    """(docs with __file and __row, rows of digest, id, locator). The locator is file and row index in it.
 
     Rows that don't come straight from files are written to the shared folder first, so that their place is stable.
     """
@@ -52,7 +52,7 @@ def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256, id_co
     log = located.select(
         digest(text_of()).alias("digest"), F.struct(F.col(id_col).alias("id"), F.col("__file").alias("file"), F.col("__row").alias("row")).alias("at")
     )
-    return located, table(log, "arrivals")
+    return located, log
 
 
 class KeyedState:
@@ -62,15 +62,14 @@ class KeyedState:
         self.spark, self.folder = spark, folder or fresh_path(spark, "dedup-state")
 
     def take(self, log: DataFrame) -> None:
-        """Run the stream over all files of `log` not taken in before; returns when they are in the state."""
-        folders = sorted({f.rsplit("/", 1)[0] for f in log.inputFiles()})
-        if not folders:
-            return
+        """Append the arrivals to the stream's input and run it over what it hasn't taken in yet; returns when that is in the state."""
+        arrived = f"{self.folder}-arrivals"
+        log.write.mode("append").parquet(arrived)
         old = {k: self.spark.conf.get(k, None) for k in STATE_CONF}
         for k, v in STATE_CONF.items():
             self.spark.conf.set(k, v)
         try:
-            stream = self.spark.readStream.schema(log.schema).parquet("{" + ",".join(folders) + "}" if len(folders) > 1 else folders[0])
+            stream = self.spark.readStream.schema(log.schema).parquet(arrived)
             seen = stream.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("stays"))
             (
                 seen.writeStream.format("noop").outputMode("update").option("checkpointLocation", self.folder)
@@ -105,22 +104,20 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", state: KeyedState | Non
     located, log = arrivals(docs, digest, id_col)
     state = state or KeyedState(spark)
     state.take(log)
-    entries = table(state.entries() if log.inputFiles() else spark.createDataFrame([], "digest string, n long, stays struct<id:long,file:string,row:long>"), "state-entries")
-    bad = table(collisions(located, entries.filter("n > 1"), digest), "collisions")
+    entries = table(state.entries(), "state-entries")
+    bad = table(collisions(located, entries.filter("n > 1"), digest).select(F.col("digest").alias("__b")), "collisions")
+    entries = entries.select(*[F.col(c).alias(f"__{c}") for c in ("digest", "n", "stays")])
     at = F.struct(F.col(id_col).alias("id"), F.col("__file").alias("file"), F.col("__row").alias("row"))
     rows = located.select(*[F.col(f"`{c}`") for c in docs.columns], sha256(text_of()).alias("text_sha256"), digest(text_of()).alias("__d"), at.alias("__at"))
-    size = F.col("n").alias("group_size")
-    done = rows.join(entries, F.col("__d") == F.col("digest"))
-    if bad.limit(1).count():  # never yet with SHA-256; then those texts are keyed by their bytes
-        done = done.join(bad.select(F.col("digest").alias("__b")), F.col("__d") == F.col("__b"), "left_anti")
     out = [F.col(f"`{c}`") for c in docs.columns]
-    result = done.select(*out, F.col("stays.id").alias("keep_id"), size, F.expr("stays <=> __at").alias("kept"), "text_sha256")
-    if bad.limit(1).count():
-        odd = rows.join(bad, F.col("__d") == F.col("digest"), "left_semi").withColumn("__t", text_of())
-        by = odd.groupBy(F.col("__t").alias("__k")).agg(F.count(F.lit(1)).alias("n"), F.max("__at").alias("stays"))
-        more = odd.join(by, F.col("__t") == F.col("__k"))
-        result = result.unionByName(more.select(*out, F.col("stays.id").alias("keep_id"), size, F.expr("stays <=> __at").alias("kept"), "text_sha256"))
-    return result
+    out += [F.col("__stays.id").alias("keep_id"), F.col("__n").alias("group_size"), F.expr("__stays <=> __at").alias("kept"), F.col("text_sha256")]
+    done = rows.join(entries, F.col("__d") == F.col("__digest"))
+    if not has_rows(bad):
+        return done.select(*out)
+    # never yet with SHA-256: texts that share a digest but not their bytes are keyed by their bytes
+    odd = rows.join(bad, F.col("__d") == F.col("__b"), "left_semi").withColumn("__t", text_of())
+    by = odd.groupBy(F.col("__t").alias("__k")).agg(F.count(F.lit(1)).alias("__n"), F.max("__at").alias("__stays"))
+    return done.join(bad, F.col("__d") == F.col("__b"), "left_anti").select(*out).unionByName(odd.join(by, F.col("__t") == F.col("__k")).select(*out))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

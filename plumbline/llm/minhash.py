@@ -125,7 +125,9 @@ def sketches(docs: DataFrame, id_col: str) -> DataFrame:
                     {"id": part["id"], "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else "" for s in sets], "planes": list(planes), "bands": list(keys)}
                 )
 
-    return docs.select(F.col(id_col).alias("id"), "text").mapInPandas(run, f"id {kind}, n long, digest string, planes array<long>, bands array<long>")
+    # ids go as text: pandas would make numbers with a null among them inexact
+    s = docs.select(F.col(id_col).cast("string").alias("id"), "text").mapInPandas(run, "id string, n long, digest string, planes array<long>, bands array<long>")
+    return s.withColumn("id", F.col("id").cast(kind))
 
 
 def matches(p: Column, q: Column) -> Column:

@@ -100,30 +100,30 @@ def mix(
     docs = docs.drop("tokens", "leaf_budget", "epochs")
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     rows = docs.withColumns(
-        {"tokens": (byte_tokens() if tokens is None else tokens).cast("long"), "domain__": domain_of(source) if domain is None else domain,
-         "language__": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "source__": source}
+        {"tokens": (byte_tokens() if tokens is None else tokens).cast("long"), "__domain": domain_of(source) if domain is None else domain,
+         "__language": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "__source": source}
     )
-    leaf = [F.col(a).alias(b) for a, b in zip(("domain__", "language__", "source__"), LEVELS, strict=True)]
+    leaf = [F.col(a).alias(b) for a, b in zip(("__domain", "__language", "__source"), LEVELS, strict=True)]
     leaves = table(budgets(rows.groupBy(*leaf).agg(F.sum("tokens").alias("supply")), total, weights, default, max_epochs), "leaf-budgets")
     small = leaves.count() <= SMALL_LEAVES
     plan = leaves.select(
-        *[F.col(b).alias(f"l_{b}") for b in LEVELS], F.col("budget").alias("leaf_budget"),
+        *[F.col(b).alias(f"__l_{b}") for b in LEVELS], F.col("budget").alias("leaf_budget"),
         F.expr("case when supply > 0 then budget div supply else 0L end").alias("__whole"), F.expr("case when supply > 0 then budget % supply else 0L end").alias("__rest"),
     )
-    on = (F.col("domain__") == F.col("l_domain")) & (F.col("language__") == F.col("l_language")) & (F.col("source__") == F.col("l_source_name"))
+    on = (F.col("__domain") == F.col("__l_domain")) & (F.col("__language") == F.col("__l_language")) & (F.col("__source") == F.col("__l_source_name"))
     rows = rows.join(plan.hint("broadcast") if small else plan, on)
     # the order of the epoch that is cut: its seed, its number and the row's id
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = rows.withColumn("__key", key).withColumn("__range", F.substring("__key", 1, HEX))
-    lv = ["l_domain", "l_language", "l_source_name"]
-    ranges = rows.groupBy(*[F.col(c).alias(f"r_{c}") for c in lv], F.col("__range").alias("r_range")).agg(F.sum("tokens").alias("__t"))
-    ahead = Window.partitionBy(*[f"r_{c}" for c in lv]).orderBy("r_range").rowsBetween(Window.unboundedPreceding, -1)
+    lv = ["__l_domain", "__l_language", "__l_source_name"]
+    ranges = rows.groupBy(*[F.col(c).alias(f"__r{c}") for c in lv], F.col("__range").alias("__r_range")).agg(F.sum("tokens").alias("__t"))
+    ahead = Window.partitionBy(*[f"__r{c}" for c in lv]).orderBy("__r_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("__ahead", F.coalesce(F.sum("__t").over(ahead), F.lit(0))).drop("__t")
     inside = Window.partitionBy(*lv, "__range").orderBy("__key", "tokens").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__run", F.sum("tokens").over(inside))
-    match = F.col("__range") == F.col("r_range")
+    match = F.col("__range") == F.col("__r_range")
     for c in lv:
-        match = match & (F.col(c) == F.col(f"r_{c}"))
+        match = match & (F.col(c) == F.col(f"__r{c}"))
     taken = F.col("__ahead") + F.col("__run") <= F.col("__rest")
     return rows.join(ranges, match).select(
         *[F.col(f"`{c}`") for c in docs.columns], "tokens", "leaf_budget", (F.col("__whole") + F.when(taken & (F.col("__rest") > 0), 1).otherwise(0)).cast("int").alias("epochs")

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from .common import table
 
 #: Rules that may be held in the plan itself, as a map from token to rules.
 MAX_INLINE = 2_000
@@ -139,13 +139,13 @@ def judge(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES,
         return rows.select(*keep, rule.alias("rule"), pattern.alias("pattern"), F.coalesce(verdict, pv, F.lit("allow")).alias("verdict"))
     # many rules: token -> rule as a table; the planner broadcasts it if it is small, and splits frequent tokens if not
     filed = [(t, i) for t, v in by.items() for i in v] + [("", i) for i in loose]
-    table = spark.createDataFrame([(t, i, i < n_host, rules[i].name, rules[i].pattern, rules[i].verdict) for t, i in filed], "t string, i int, hosted boolean, name string, pattern string, verdict string")
-    rows = rows.withColumn("__id", F.monotonically_increasing_id())
-    cand = rows.select("__id", "__u", F.explode(F.concat(F.col("__t"), F.array(F.lit("")))).alias("t")).join(table, "t").filter(F.expr("__u rlike pattern"))
+    index_rows = spark.createDataFrame([(t, i, i < n_host, rules[i].name, rules[i].pattern, rules[i].verdict) for t, i in filed], "t string, i int, hosted boolean, name string, pattern string, verdict string")
+    rows = table(rows.withColumn("__id", F.monotonically_increasing_id()), "urls")  # written, as the numbers must stay the same
+    cand = rows.select("__id", "__u", F.explode(F.concat(F.col("__t"), F.array(F.lit("")))).alias("t")).join(index_rows, "t").filter(F.expr("__u rlike pattern"))
     one = F.struct("i", "name", "verdict")
-    won = cand.groupBy(F.col("__id").alias("__w")).agg(F.min(F.when(F.col("hosted"), one)).alias("h"), F.min(F.when(~F.col("hosted"), one)).alias("p"))
+    won = cand.groupBy(F.col("__id").alias("__w")).agg(F.min(F.when(F.col("hosted"), one)).alias("__h"), F.min(F.when(~F.col("hosted"), one)).alias("__p"))
     return rows.join(won, F.col("__id") == F.col("__w"), "left").select(
-        *keep, F.col("h.name").alias("rule"), F.col("p.name").alias("pattern"), F.coalesce("h.verdict", "p.verdict", F.lit("allow")).alias("verdict")
+        *keep, F.col("__h.name").alias("rule"), F.col("__p.name").alias("pattern"), F.coalesce("__h.verdict", "__p.verdict", F.lit("allow")).alias("verdict")
     )
 
 
