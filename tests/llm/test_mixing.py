@@ -1,0 +1,87 @@
+import hashlib
+import random
+import sys
+from collections import defaultdict
+from fractions import Fraction
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+from helpers import messy, nothing
+
+from plumbline.llm import mixing as M
+
+
+def water(budget, kids):
+    """kids: name -> (weight, cap). Shares by weight up to caps, what is over shared again: exact, then to the token below."""
+    full, live, left = {}, {k: v for k, v in kids.items() if v[0] > 0}, Fraction(budget)
+    while live:
+        w = sum(v[0] for v in live.values())
+        over = {k for k, v in live.items() if v[1] <= left * v[0] / w}
+        if not over:
+            break
+        for k in over:
+            full[k] = live.pop(k)[1]
+            left -= full[k]
+    w = sum(v[0] for v in live.values())
+    return {k: full.get(k, int(left * kids[k][0] / w) if k in live else 0) for k in kids}
+
+
+def brute(leaves, total, weights, epochs):
+    w = lambda level, name: weights.get(f"{level}:{name}", 1)
+    cap = defaultdict(int)
+    for (d, l, s), n in leaves.items():
+        for k in ((d,), (d, l), (d, l, s)):
+            cap[k] += n * epochs
+    out = {}
+    for (d,), b in water(total, {k: (w("domain", k[0]), cap[k]) for k in cap if len(k) == 1}).items():
+        for (_, l), c in water(b, {k: (w("language", k[1]), cap[k]) for k in cap if len(k) == 2 and k[0] == d}).items():
+            out |= water(c, {k: (w("source_name", k[2]), cap[k]) for k in cap if len(k) == 3 and k[:2] == (d, l)})
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_budgets(spark, seed):
+    r = random.Random(seed)
+    leaves = {(f"d{r.randint(0, 2)}", f"l{r.randint(0, 3)}", f"s{r.randint(0, 5)}"): r.choice([0, 1, 5, 40, 1000]) for _ in range(30)}
+    weights = {"domain:d0": 5, "language:l1": 3, "source_name:s2": 0, "source_name:s3": 7, "domain:d2": r.choice([0, 1])}
+    total, epochs = r.choice([0, 10, 500, 3000, 10**6]), r.choice([1, 3])
+    df = spark.createDataFrame([(*k, v) for k, v in leaves.items()], "domain string, language string, source_name string, supply long")
+    got = {(x[0], x[1], x[2]): x["budget"] for x in M.budgets(df, total, weights, max_epochs=epochs).collect()}
+    assert got == brute(leaves, total, weights, epochs)
+
+
+def test_prefixes_epochs_and_shortage(spark):
+    r = random.Random(9)
+    rows = [(i, "x" * r.randint(0, 400), r.choice(["en", "de"]), r.choice(["src0", "src1", "src5", "src0"])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    got = M.mix(df, total=(3, 2), weights={"domain:domain1": 6}, max_epochs=4, seed=5).collect()
+    leaf = defaultdict(list)
+    for x in got:
+        assert x["tokens"] == (len(x["text"]) + 3) // 4
+        leaf[x["source"], x["lang"]].append(x)
+    for rows_ in leaf.values():
+        budget, supply = rows_[0]["leaf_budget"], sum(x["tokens"] for x in rows_)
+        whole, rest = divmod(budget, supply)
+        run = 0
+        for x in sorted(rows_, key=lambda x: (hashlib.md5(f"5|{whole}|{x['doc_id']}".encode()).hexdigest(), x["tokens"])):
+            run += x["tokens"]
+            assert x["epochs"] == whole + (rest > 0 and run <= rest)
+    assert sum(x["leaf_budget"] for x in {(x["source"], x["lang"]): x for x in got}.values()) <= sum(x["tokens"] for x in got) * 3 // 2
+
+
+def test_messy(spark):
+    got = M.mix(messy(spark), total=(1, 1), max_epochs=1)
+    assert got.columns == [*[c for c in messy(spark).columns if c != "tokens"], "tokens", "leaf_budget", "epochs"] and got.count() == messy(spark).count()
+    assert got.filter("tokens > 0 and epochs <> 1").count() == 0  # all of it fits
+    assert M.mix(nothing(spark), total=(1, 1)).count() == 0
+
+
+def test_leaves_joined_by_key(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a = M.op9_mixing(spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(M, "SMALL_LEAVES", 0)
+    assert sorted(a) == sorted(M.op9_mixing(spark, "/root/testdata/sf0.001").collect()) and len(a) == docs.count()
+    assert F

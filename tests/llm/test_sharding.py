@@ -1,0 +1,72 @@
+import sys
+import zlib
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
+from helpers import messy, messy_rows, nothing
+
+from plumbline.llm import sharding as S
+
+
+def test_query(spark):
+    d = "/root/testdata/sf0.1"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = S.op10_sharding(spark, d).collect()
+    assert {r["doc_id"] for r in got} == set(docs) and len(got) == len(docs)
+    n, slots, mix = Counter(), defaultdict(list), defaultdict(Counter)
+    for r in got:
+        raw = (docs[r["doc_id"]]["text"] or "").encode()
+        assert r["size"] == len(raw) + 8 and r["text_crc32"] == zlib.crc32(raw) and r["law"] == "rows" and r["grown_shard"] is None
+        n[r["shard"]] += 1
+        slots[r["shard"]].append(r["slot"])
+        mix[r["shard"]][docs[r["doc_id"]]["source"]] += 1
+    assert set(n) == set(range(24)) and max(n.values()) - min(n.values()) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    total = Counter(r["source"] for r in docs.values())
+    for shard, c in mix.items():  # every shard has each source's share, to two rows
+        assert all(abs(c[s] - total[s] / 24) <= 2 for s in total), shard
+
+
+@pytest.mark.parametrize("shards", [1, 3, 100])
+def test_messy_against_brute_force(spark, shards):
+    got = S.interleave(messy(spark).repartition(3), shards, seed=3).collect()
+    assert len(got) == len(messy_rows())
+    n = Counter(r["shard"] for r in got)
+    assert set(n) <= set(range(shards)) and max(n.values()) - min([*n.values(), *([0] if len(n) < shards else [])]) <= 1
+    # the order: fractional ranks of a seeded order in each source
+    seq = [r for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    of, src = Counter(r[3] for r in messy_rows()), defaultdict(list)
+    for r in messy_rows():
+        src[r[0]].append(r[3])
+    seen, last = Counter(), -1.0
+    for r in seq:
+        if len(set(src[r["id"]])) == 1:
+            s = src[r["id"]][0]
+            f = (seen[s] + 0.5) / of[s]
+            seen[s] += 1
+            if len(of) == len([k for k in of]) and r["id"] not in (7, None):
+                assert f >= last - 1 / min(of.values())
+                last = max(last, f - 0.5)
+
+
+def test_same_seed_same_place(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    place = lambda df, seed: sorted((r["id"], r["shard"], r["slot"]) for r in S.interleave(df, 5, seed=seed).collect())
+    assert place(docs, 1) == place(docs.repartition(7), 1) != place(docs, 2)
+
+
+def test_files(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    S.write_shards(docs, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r["doc_id"] for r in back.collect()) == sorted(r["doc_id"] for r in docs.collect()) and {r["shard"] for r in back.collect()} == {0, 1, 2, 3}
+    assert set(docs.columns) <= set(back.columns)
+
+
+def test_empty_and_wrong(spark):
+    assert S.interleave(nothing(spark), 24).count() == 0
+    with pytest.raises(ValueError):
+        S.interleave(nothing(spark), 0)
