@@ -7,7 +7,7 @@ among its siblings. Gradient-boosted trees give the odds that a node's text is t
 
 Decoding: every node is kept or dropped, and what stands in a dropped node is dropped. The labelling with the greatest
 likelihood under that rule is found by dynamic programming from the leaves, so a choice for an ancestor and one for its
-descendant can't contradict each other. Scripts, styles, forms' controls, comments and the head have no text at all.
+descendant can't contradict each other. Scripts, styles, fields of forms, comments in the markup and the head have no text at all.
 
 Text: character references are decoded, white space in a block is one space, blocks are trimmed and joined by two line ends in
 page order; nothing else is dropped and nothing is capped. Null and empty pages give "". Text without any markup is one block
@@ -35,10 +35,10 @@ from .tokens import SLICE
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
-ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template svg iframe textarea select option object canvas math head audio video noframes".split())
+RAW = set("script style title noscript template svg iframe textarea select option object canvas math head audio video noframes".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr br nobr".split())
 #: A start tag of the key ends an open element of the values.
 PARAGRAPH_ENDS = set("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -61,7 +61,7 @@ GROUPS = (
 )
 GROUP_OF = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 N_GROUPS = len(GROUPS)
-N_FEATURES = 16 + 2 * (N_TAGS + N_GROUPS)
+N_FEATURES = 17 + 2 * (N_TAGS + N_GROUPS)
 
 
 class Dom:
@@ -73,18 +73,11 @@ class Dom:
         self.links: list[int] = [0]
 
 
-def attribute_groups(raw: str) -> tuple[frozenset, bool]:
-    """Groups of the class, id and role tokens; whether the element isn't shown."""
-    groups, hidden = set(), False
+def attribute_groups(raw: str) -> frozenset:
+    """Groups of the class, id and role tokens."""
     if not raw or raw.isspace():
-        return frozenset(), False
-    for name, value in ATTRIBUTE.findall(raw):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            hidden = True
-        elif name in ("class", "id", "role"):
-            groups.update(GROUP_OF[t.lower()] for t in PIECES.findall(value) if t.lower() in GROUP_OF)
-    return frozenset(groups), hidden
+        return frozenset()
+    return frozenset(GROUP_OF[t.lower()] for _, value in ATTRIBUTE.findall(raw) for t in PIECES.findall(value) if t.lower() in GROUP_OF)
 
 
 def parse(page: str) -> Dom:
@@ -156,9 +149,7 @@ def parse(page: str) -> Dom:
                 pop_to((stack[-1][0],), ())
         if name in VOID:
             continue
-        groups, hidden = attribute_groups(raw)
-        if hidden and not raw.endswith("/"):  # what isn't shown has no text: its content goes to a node that is always dropped
-            groups = groups | {-1}
+        groups = attribute_groups(raw)
         node = stack[-1][1]
         if not is_inline or groups:
             d.parent.append(node)
@@ -192,6 +183,7 @@ def node_features(d: Dom) -> tuple[np.ndarray, np.ndarray]:
     text, link, pun, wor, blo, size = own.copy(), np.array(d.links, float), punct, words, blocks, np.ones(n)
     paragraphs = np.array([float(t == "p") for t in d.tag])
     items = np.array([float(t == "li") for t in d.tag])
+    heads = np.array([float(t == "h1") for t in d.tag])
     kids, rank, same = np.zeros(n), np.zeros(n), [dict() for _ in range(n)]
     for i in range(1, n):
         p = parent[i]
@@ -200,7 +192,7 @@ def node_features(d: Dom) -> tuple[np.ndarray, np.ndarray]:
         same[p][d.tag[i]] = same[p].get(d.tag[i], 0) + 1
     for i in range(n - 1, 0, -1):
         p = parent[i]
-        for a in (text, link, pun, wor, blo, size, paragraphs, items):
+        for a in (text, link, pun, wor, blo, size, paragraphs, items, heads):
             a[p] += a[i]
         first[p] = min(first[p], first[i])
     total = max(text[0], 1.0)
@@ -224,12 +216,12 @@ def node_features(d: Dom) -> tuple[np.ndarray, np.ndarray]:
     x[:, 13] = items / np.maximum(size, 1)
     x[:, 14] = size / np.maximum(text, 1) * 100
     x[:, 15] = link[up] / np.maximum(text[up], 1)
-    o = 16
+    x[:, 16] = heads
+    o = 17
     for i in range(n):
         x[i, o + TAGS.get(d.tag[i], N_TAGS - 1)] = 1
         for g in d.attrs[i]:
-            if g >= 0:
-                x[i, o + N_TAGS + g] = 1
+            x[i, o + N_TAGS + g] = 1
     a = o + N_TAGS + N_GROUPS
     for i in range(1, n):  # what any ancestor has
         p = parent[i]
@@ -246,9 +238,6 @@ def keep(d: Dom, margin: np.ndarray, text: np.ndarray) -> np.ndarray:
     cost_drop = np.logaddexp(0, margin)
     cost_keep[text == 0] = cost_drop[text == 0] = 0
     cost_keep[0] = cost_drop[0] = 0
-    for i in range(n):
-        if -1 in d.attrs[i]:
-            cost_keep[i] = 1e9
     keep_, drop_ = cost_keep.copy(), cost_drop.copy()
     for i in range(n - 1, 0, -1):
         p = d.parent[i]
@@ -317,8 +306,10 @@ def synthetic_page(r: random.Random) -> str:
 
     def article() -> str:
         parts = [f"<h1>{words(MAIN, 2, 12)}</h1>"] if r.random() < 0.85 else []
-        if r.random() < 0.25:
-            parts.append(wrap("div", 12, f"{REST}{word()} {word()}, {r.randint(1, 28)}.{r.randint(1, 12)}.20{r.randint(10, 25)}", "x"))
+        if r.random() < 0.25:  # who wrote it and when: part of the article
+            parts.append(wrap(r.choice(["div", "p"]), 12, f"{MAIN}{word()} {word()}, {r.randint(1, 28)}.{r.randint(1, 12)}.20{r.randint(10, 25)}", "x"))
+        if parts and r.random() < 0.2:
+            parts = [f"<header{r.choice(['', ' class=entry-header'])}>{''.join(parts)}</header>"]
         for _ in range(r.choice([1, 2, 3, 4, 6, 8, 12, 16])):
             k = r.random()
             if k < 0.72:

@@ -27,6 +27,8 @@ def page(body):
         (f"<article><p>{LONG}</p><ul><li>First thing to know<li>Second thing to know</ul><p>{LONG}</p></article><section class=comments><h3>Comments</h3><div class=comment><p>Great piece, thanks a lot for it.</p></div></section>", [LONG, "First thing to know", "Second thing to know", LONG]),
         (f'<article><p>A &amp; B&nbsp;&eacute; <b>bold</b>\n\n text<br>next {LONG}</p><p>{LONG}<!-- c --></p><div class="ad">Buy this now</div></article>', [f"A & B é bold text next {LONG}", LONG]),
         (f"<form><label>Name</label><input name=x><button>Go</button></form><main><p>{LONG}</p><p>{LONG}</p></main><aside><h3>Related</h3><ul><li><a href=/x>Other story</a></li></ul></aside>", [LONG, LONG]),
+        (f'<header><div>Site name</div><ul><li><a href=/>Home</a></li></ul></header><article><header><h1>Title</h1><p class="byline">Ann Writer, 3 May</p></header><p>{LONG}</p><table><tr><td>one</td><td>two</td></tr></table></article><footer><p>{LONG}</p></footer>', ["Title", "Ann Writer, 3 May", LONG, "one", "two"]),
+        (f'<div id=wrap><div id="cookie-notice"><p>We use cookies to do things. Accept all of them.</p></div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>', ["Title", LONG, LONG, LONG]),
     ],
 )
 def test_layouts(extract, body, want):
