@@ -26,10 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, table
-from .tokens import SLICE, WordBpe
+from .tokens import SLICE, word_bpe
 
 #: Workers whose leftovers are filled together in one round.
 GROUP = 64
+#: The sequence_id of a piece that has none yet.
+OPEN = -1
 
 
 def cut_table(capacity: int, waste: float) -> list[list[tuple[int, int]]]:
@@ -89,24 +91,19 @@ class Filler:
         return out
 
 
-PIECE = "sequence_id long, `offset` long, length long, class int, doc_id {kind}, start long, doc_tokens long, worker int"
+PIECE = "sequence_id long, `offset` long, length long, class int, doc_id string, start long, doc_tokens long, worker int"
 
 
 def cut_and_fill(docs: DataFrame, capacity: int, waste: float, end_id: int, id_col: str, vocabulary: str, folder: str | None) -> DataFrame:
-    """Pieces with their ids (binary, unsigned little-endian 32-bit); sequence_id is null where a worker's sequence stayed open."""
+    """Pieces with their ids (binary, unsigned little-endian 32-bit); sequence_id is OPEN where a worker's sequence stayed open."""
     ship(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, cuts, end = WordBpe(vocabulary, folder), cut_table(capacity, waste), np.array([end_id], "<u4").tobytes()
+        bpe, cuts, end = word_bpe(vocabulary, folder), cut_table(capacity, waste), np.array([end_id], "<u4").tobytes()
         worker = TaskContext.get().partitionId()
         fill = Filler(worker << 33)
         names = ["sequence_id", "offset", "length", "class", "doc_id", "start", "doc_tokens", "worker", "ids"]
 
-        def frame(rows):
-            f = pd.DataFrame(rows, columns=names)
-            return f.astype({"sequence_id": "Int64", "offset": "Int64"})
-
         for b in batches:
             for i in range(0, len(b), SLICE):
                 part, out = b.iloc[i : i + SLICE], []
@@ -114,14 +111,15 @@ def cut_and_fill(docs: DataFrame, capacity: int, waste: float, end_id: int, id_c
                     ids += end
                     n, at = len(ids) // 4, 0
                     for length, k in [(capacity, 1)] * (n // capacity) + cuts[n % capacity]:
-                        out += fill.add([None, None, length, k, doc, at, n, worker, ids[4 * at : 4 * (at + length)]])
+                        out += fill.add([OPEN, OPEN, length, k, doc, at, n, worker, ids[4 * at : 4 * (at + length)]])
                         at += length
                 if out:
-                    yield frame(out)
+                    yield pd.DataFrame(out, columns=names)
         if left := fill.rest():
-            yield frame(left)
+            yield pd.DataFrame(left, columns=names)
 
-    return docs.select(F.col(id_col).alias("id"), "text").mapInPandas(run, PIECE.format(kind=kind) + ", ids binary")
+    # ids go as text: pandas would make numbers with a null among them inexact
+    return docs.select(F.col(id_col).cast("string").alias("id"), "text").mapInPandas(run, PIECE + ", ids binary")
 
 
 def pack(
@@ -136,7 +134,7 @@ def pack(
     payload = {"ids": lambda ids: ids} if payload is None else payload
     first = cut_and_fill(docs, capacity, waste, end_id, id_col, vocabulary, folder)
     first = table(first.select(*[c for c in first.columns if c != "ids"], *[f(F.col("ids")).alias(n) for n, f in payload.items()]), "pieces")
-    done, left = first.filter("sequence_id is not null"), first.filter("sequence_id is null")
+    done, left = first.filter("sequence_id >= 0"), first.filter("sequence_id < 0")
     workers = (left.agg(F.max("worker")).collect()[0][0] or 0) + 1
     schema, level, names = first.schema, 0, first.columns
 
@@ -147,8 +145,8 @@ def pack(
             g = g.sort_values(["worker", "start", "length", "doc_id"], kind="stable")
             for r in g[names].itertuples(index=False):
                 out += fill.add(list(r))
-            out += fill.best_fit(capacity) if last else [[None, None, *r[2:]] for r in fill.rest()]
-            f = pd.DataFrame(out, columns=names).astype({"sequence_id": "Int64", "offset": "Int64"})
+            out += fill.best_fit(capacity) if last else [[OPEN, OPEN, *r[2:]] for r in fill.rest()]
+            f = pd.DataFrame(out, columns=names)
             f["worker"] = worker
             return f
 
@@ -159,11 +157,12 @@ def pack(
         last = workers <= GROUP
         made = left.withColumn("__g", F.floor(F.col("worker") / GROUP)).groupBy("__g").applyInPandas(filler(last, level), schema)
         made = table(made, f"pieces-{level}")
-        done = done.unionByName(made.filter("sequence_id is not null"))
+        done = done.unionByName(made.filter("sequence_id >= 0"))
         if last:
             break
-        left, workers = made.filter("sequence_id is null"), -(-workers // GROUP)
-    return done.select("doc_id", "start", "length", *payload, "doc_tokens", "sequence_id", "offset")
+        left, workers = made.filter("sequence_id < 0"), -(-workers // GROUP)
+    kind = dict(docs.dtypes)[id_col]
+    return done.select(F.col("doc_id").cast(kind).alias("doc_id"), "start", "length", *payload, "doc_tokens", "sequence_id", "offset")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,23 +9,30 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 
 from .common import tokenizer_path
 
-#: Chunks remembered by a worker.
-MEMO = 400_000
+#: Chunks remembered by a worker process.
+MEMO = 800_000
 #: Texts split into chunks at a time; bounds a worker's memory whatever the batch size.
 SLICE = 256
+#: Words sent to the library as one text.
+JOINED = 512
+
+_ALNUM = np.array([chr(i).isalnum() for i in range(256)])
+_BREAK = np.isin(np.arange(256), [10, 32])
+_MARK = np.isin(np.arange(256), [44, 46])
 
 
 class WordBpe:
     """`tokenizers` file whose pre-tokenizer drops white space (word_bpe_49k.json): ids as little-endian uint32 bytes."""
 
-    #: White space for the tokenizer, with what counts as such for Python but not there left out.
-    SPLIT = re.compile(r"[\t-\r \x85\xa0  -     　]+")
-    ODD = re.compile(r"[\x1c-\x1f]")
+    #: White space to the tokenizer; Python's own split also takes what is in ODD.
+    SPLIT = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+    ODD = re.compile("[\x1c-\x1f]")
 
     def __init__(self, name: str = "word_bpe_49k.json", folder: str | None = None):
         import os
@@ -34,15 +41,46 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(tokenizer_path(name, folder))
+        vocab = self.t.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self.ends[i] = token.endswith("</w>")
         self.memo: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
-        return [c for c in self.SPLIT.split(text) if c] if self.ODD.search(text) else text.split()
+        """The text's chunks. Latin-1 text is folded to lower case, as the tokenizer would, and points and commas that end words
+        are chunks of their own, as they are tokens of their own; so the memo has to hold fewer."""
+        if self.ODD.search(text):
+            return [c for c in self.SPLIT.split(text) if c]
+        try:
+            a = np.frombuffer(text.encode("latin-1"), np.uint8)
+        except UnicodeEncodeError:
+            return text.split()
+        if "<|" in text:  # may be a special token
+            return text.split()
+        text = text.lower()
+        at = np.flatnonzero(_MARK[a[:-1]] & _BREAK[a[1:]])
+        if len(at) and at[0] > 0 and _ALNUM[a[at - 1]].all():
+            text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
+        return text.split()
 
     def learn(self, new: Iterable[str]) -> None:
-        new = list(new)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+        plain, other = [], []
+        for c in new:
+            (plain if c.isalpha() else other).append(c)
+        for i in range(0, len(plain), JOINED):  # each is one word to the tokenizer, and so has one last token
+            part = plain[i : i + JOINED]
+            ids = np.array(self.t.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) != len(part):
+                other += part
+                continue
+            raw, at = ids.tobytes(), 0
+            for c, to in zip(part, ends.tolist(), strict=True):
+                self.memo[c] = raw[at:to]
+                at = to
+        for i in range(0, len(other), 4096):
+            part = other[i : i + 4096]
             for c, e in zip(part, self.t.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.memo[c] = np.array(e.ids, "<u4").tobytes()
 
@@ -54,12 +92,17 @@ class WordBpe:
         new: set[str] = set()
         for s in split:
             new.update(s)
-        new.difference_update(self.memo)
-        self.learn(new)
+        self.learn([c for c in new if c not in self.memo])
         get = self.memo.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 
+@lru_cache(4)
+def word_bpe(name: str = "word_bpe_49k.json", folder: str | None = None) -> WordBpe:
+    """One for each worker process, so that its memo serves all tasks there."""
+    return WordBpe(name, folder)
+
+
 class PieceBpe:
     """`sentencepiece` model with byte fallback (piece_bpe_32k.model): ids of each chunk, as uint16 bytes."""
 
@@ -78,9 +121,14 @@ class PieceBpe:
         new: set[str] = set()
         for s in texts:
             new.update(s)
-        new.difference_update(self.memo)
-        part = list(new)
+        part = [c for c in new if c not in self.memo]
         for c, ids in zip(part, self.t.encode(part, num_threads=1) if part else [], strict=True):
             self.memo[c] = np.array(ids, "<u2").tobytes()
         get = self.memo.__getitem__
         return [b"".join(map(get, s)) for s in texts]
+
+
+@lru_cache(4)
+def piece_bpe(name: str = "piece_bpe_32k.model", folder: str | None = None) -> PieceBpe:
+    """One for each worker process."""
+    return PieceBpe(name, folder)
