@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, table
-from .tokens import SLICE, PieceBpe
+from .tokens import SLICE, PieceBpe, piece_bpe
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space to Python that is part of a word here.
-OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SYMBOLS = "#*$%&|<>"
 #: Ranges that name a script, by first and last code point.
 SCRIPTS = (("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7AF))
@@ -103,7 +103,7 @@ def measured(docs: DataFrame, key: str = "doc_id", lang_col: str | None = "lang"
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = PieceBpe(folder=folder)
+        bpe = piece_bpe(folder=folder)
         for b in batches:
             for i in range(0, len(b), SLICE):
                 part = b.iloc[i : i + SLICE]
@@ -111,7 +111,9 @@ def measured(docs: DataFrame, key: str = "doc_id", lang_col: str | None = "lang"
                 yield pd.concat([part[["key", "lang"]].reset_index(drop=True), out], axis=1)
 
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col(key).alias("key"), lang.alias("lang"), F.col("text")).mapInPandas(run, f"key {kind}, lang string, {MEASURES}")
+    # keys go as text: pandas would make numbers with a null among them inexact
+    m = docs.select(F.col(key).cast("string").alias("key"), lang.alias("lang"), F.col("text")).mapInPandas(run, f"key string, lang string, {MEASURES}")
+    return m.withColumn("key", F.col("key").cast(kind))
 
 
 def base_failed():
