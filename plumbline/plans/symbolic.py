@@ -177,6 +177,31 @@ def literal_table(node: Node, env: Env) -> DataFrame:
     return table_literal(env.spark, cols)
 
 
+def chunks_of(table: Any) -> dict[str, list[list]]:
+    """Column name -> its chunks, of a literal table."""
+    if not isinstance(table, Node) or table.head != "Table":
+        raise NotReady(table)
+    out = {}
+    for c in table.args:
+        name, lists = (c.args[0].name, c.args[1:]) if c.head == "Column" else (c.head, c.args)
+        parts = [a for x in lists for a in ([s for s in x.args] if x.args and all(isinstance(s, Node) for s in x.args) else [x])]
+        out[name] = [rows_of(x) for x in parts]
+    return out
+
+
+def indexed_table(args: tuple, env: Env) -> DataFrame:
+    """A join result given as two tables and a list of row places for either: chunk number times 2^32, plus the row in it.
+
+    Where names meet, the left table's column stays.
+    """
+    cols: dict[str, list] = {}
+    for table, places in zip(args[::2], args[1::2], strict=True):
+        at = [divmod(p, 1 << 32) for p in rows_of(places)]
+        for name, chunks in chunks_of(table).items():
+            cols.setdefault(name, [chunks[c][i] for c, i in at])
+    return table_literal(env.spark, cols)
+
+
 def relation(x: Any, env: Env) -> DataFrame:
     if isinstance(x, DataFrame):
         return x
@@ -302,6 +327,11 @@ def walk(x: Any, env: Env) -> Any:
             elif not (isinstance(option, Node) and option.head == "Stats"):
                 raise ValueError(f"Unexpected argument of 'Let' expression: {option}")
         return walk(x.args[0], env)
+    if x.head == "TableIndexed" and len(x.args) == 4:
+        try:
+            return indexed_table(x.args, env)
+        except NotReady:
+            pass
     args = [walk(a, env) for a in x.args]
     try:
         return apply(x.head, args, env)

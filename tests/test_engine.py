@@ -121,6 +121,16 @@ def test_composite_join_and_names(spark):
     assert isinstance(run(spark, H.PartitionedJoin(y("L"), y("R"), keys), tables=t), Node)
 
 
+def test_indexed_tables(spark):
+    big = 1 << 32
+    left = H.Table(H.k(H.List(1, 2), H.List(3)), H.v(H.List("a", "b"), H.List("c")))
+    right = H.Table(H.Column(y("o"), H.List(7, 8)), H.Column(y("v"), H.List("x", "y")))
+    t = H.TableIndexed(left, H.List(0, big, 1), right, H.List(1, 0, 1))
+    got = run(spark, H.Project(t, H.As(y("k"), y("k"), y("v"), y("v"), y("s"), H.Plus(y("k"), y("o")))))
+    assert [tuple(r) for r in got.collect()] == [(1, "a", 9), (3, "c", 10), (2, "b", 10)]
+    assert run(spark, H.TableIndexed(y("x"), H.List(0), right, H.List(0))).head == "TableIndexed"
+
+
 @pytest.mark.parametrize(
     "t",
     [H.Select(y("Dummy"), H.Where(H.And(H.Greater(y("a"), 1), H.Greater(y("b"), 2)))), H.Select(H.NotTable(H.x(1)), H.Where(H.Greater(y("x"), 1))), H.Project(y("Dummy"), H.As(y("a"), y("b"))), H.UndefinedFunction(9), H.Set(y("Other"), 1)],
