@@ -6,7 +6,7 @@ at a channel cost. Viterbi finds the likeliest letter string under a character t
 texts of the corpus. Texts are scored after restoring: features are restored words and their beginnings (for inflected
 forms), chosen and weighted on labelled texts by their log-odds and a logistic regression over presence.
 
-The counts of the language model cover every document. The regression is fitted on at most SAMPLE labelled documents, the
+The counts of the language model cover every document. The features are chosen on at most SAMPLE labelled documents, the
 first by a hash of their id. Null and empty texts have no features and get the base rate's score. Only the text enters a
 score. Several labels of one id count as toxic if one is. With no labels, or labels of one kind only, every score is that
 kind's rate (0 without labels). Rows with equal ids each get their score; other columns don't matter here.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,14 +41,16 @@ LEET = {
 #: Signs that may stand between the letters of a word.
 SEPARATORS = " .-_*·"
 #: Channel costs in nats: a sign read as a letter, a sign or separator dropped, a repeated letter dropped, a space kept.
-COST_LEET, COST_DROP, COST_REPEAT, COST_SPACE = 1.0, 3.0, 0.7, 1.5
+COST_LEET, COST_DROP, COST_REPEAT, COST_SPACE = 0.5, 8.0, 0.7, 1.5
 #: Longest token that is decoded; longer ones are codes, links or keys and are read as they are.
 LONGEST = 32
 #: Labelled documents the regression is fitted on, at most.
-SAMPLE = 20_000
+SAMPLE = 12_000
 FEATURES = 2_000
+#: Toxic documents a feature must be in, and the lower bound of the share of toxic ones among all it is in.
+LEAST, SURE = 6, 0.6
 PREFIXES = (4, 5, 6, 7)
-MEMO = 400_000
+MEMO = 300_000
 
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*·]{1,2}[^\W_]){2,23}(?![^\W_])")
 EDGE = "\"'`.,;:?()[]{}<>«»“”‘’…–—#%&*/\\~^=-_"
@@ -181,8 +184,10 @@ def features(words: set[str]) -> set[str]:
 
 
 class Scorer:
-    def __init__(self, model: CharModel, weights: dict[str, float], bias: float):
-        self.model, self.weights, self.bias = model, weights, bias
+    """Noisy-or: a text is toxic unless each sign in it fails to make it so. weights: feature -> -log(1 - its probability)."""
+
+    def __init__(self, model: CharModel, weights: dict[str, float], base: float):
+        self.model, self.weights, self.base = model, weights, base
 
     def start(self) -> None:
         self.restore, self.hits = Restorer(self.model), {}
@@ -201,54 +206,68 @@ class Scorer:
                 h = hits[w] = self.hit(w)
             if h:
                 found.update(h)
-        z = self.bias + sum(self.weights[f] for f in sorted(found))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return 1 - (1 - self.base) * math.exp(-sum(self.weights[f] for f in sorted(found)))
 
 
-def regress(sets: list[list[int]], y: np.ndarray, n_features: int, l2: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression over presence, by Adam; the bias isn't penalised."""
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    cols = np.array([c for s in sets for c in s], int)
-    w, b, m, v = np.zeros(n_features), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), np.zeros(n_features + 1), np.zeros(n_features + 1)
-    for t in range(1, steps + 1):
-        z = b + np.bincount(rows, w[cols], len(sets)) if len(cols) else np.full(len(sets), b)
-        err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.r_[(np.bincount(cols, err[rows], n_features) if len(cols) else 0) + l2 * w, err.sum()]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+def wilson(a: int, b: int, z: float = 2.0) -> float:
+    """Lower bound of the share a / (a + b)."""
+    n = a + b
+    p = a / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
 def learn(model: CharModel, texts: list[str], y: np.ndarray) -> Scorer:
-    """Choose features by log-odds of presence and weigh them."""
+    """Choose features whose documents are toxic by the lower bound of their share, and their probabilities.
+
+    Near copies would count a chance word many times: of documents with the same least word hashes only one is learned from.
+    """
     if not len(y):
-        return Scorer(model, {}, -30.0)
+        return Scorer(model, {}, 0.0)
     if y.min() == y.max():
-        return Scorer(model, {}, 30.0 if y[0] else -30.0)
-    restore = Restorer(model)
-    words = [restore.words(t) for t in texts]
-    pos, neg = Counter(), Counter()
-    for w, t in zip(words, y, strict=True):
-        if t:
-            pos.update(features(w))
-    wanted = {f for f, k in pos.items() if k >= 3}
-    for w, t in zip(words, y, strict=True):
-        if not t:
-            neg.update(features(w) & wanted)
-    np_, nn = int(y.sum()), int(len(y) - y.sum())
-
-    def z(f: str) -> float:
-        a, b = pos[f], neg[f]
-        odds = math.log((a + 0.5) / (np_ + 1)) - math.log((b + 0.5) / (nn + 1))
-        return odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) if odds > 1.5 else 0.0
-
-    ranked = sorted(((z(f), f) for f in wanted), reverse=True)[:FEATURES]
-    names = [f for s, f in ranked if s > 3]
-    at = {f: i for i, f in enumerate(names)}
-    sets = [sorted(at[f] for f in features(w) if f in at) for w in words]
-    weights, bias = regress(sets, y, len(names))
-    return Scorer(model, {f: float(weights[i]) for f, i in at.items() if weights[i] > 0.05}, bias)
+        return Scorer(model, {}, float(y[0]))
+    restore, vocabulary, docs, kinds, families = Restorer(model), {}, [], [], set()
+    for t, kind in zip(texts, y, strict=True):  # documents as numbers of their words
+        w = restore.words(t)
+        family = (kind, *sorted(zlib.crc32(x.encode()) for x in w)[:3])
+        if family not in families:
+            families.add(family)
+            docs.append(np.fromiter((vocabulary.setdefault(x, len(vocabulary)) for x in w), np.int32))
+            kinds.append(kind)
+    words = list(vocabulary)
+    del restore, vocabulary
+    # features in LEAST toxic documents: those that may be, by a table of hashed counts, are counted by name
+    likely, pos = np.zeros(1 << 22, np.uint16), Counter()
+    for exact in (False, True):
+        for d, kind in zip(docs, kinds, strict=True):
+            if kind:
+                f = features({words[i] for i in d})
+                if exact:
+                    pos.update(x for x in f if likely[zlib.crc32(x.encode()) & 0x3FFFFF] >= LEAST)
+                else:
+                    np.add.at(likely, np.unique(np.fromiter((zlib.crc32(x.encode()) & 0x3FFFFF for x in f), np.int64)), 1)
+    names = sorted(f for f, k in pos.items() if k >= LEAST)
+    number = {f: i for i, f in enumerate(names)}
+    of_word = {i: np.array(k, np.int32) for i, w in enumerate(words) if (k := [number[f] for f in features({w}) if f in number])}
+    docs_of: list[list[int]] = [[] for _ in names]
+    for row, d in enumerate(docs):
+        if k := [of_word[i] for i in d.tolist() if i in of_word]:
+            for f in np.unique(np.concatenate(k)).tolist():
+                docs_of[f].append(row)
+    share = {f: wilson(pos[f], len(docs_of[i]) - pos[f]) for f, i in number.items()}
+    good = sorted((f for f in names if share[f] >= SURE), key=lambda f: (f[0] == "=", -len(f), f))
+    chosen, covered = {}, set()
+    for f in good:  # longest beginnings first; a shorter one must be right beyond the words that the longer ones of it stand for
+        longer = [x for x in chosen if x.startswith(f) or f[0] == "=" and f[1:].startswith(x)]
+        rows = set(docs_of[number[f]])
+        alone = rows.difference(*(docs_of[number[x]] for x in longer))
+        if longer and (alone and (sum(kinds[i] for i in alone) + 0.5) / (len(alone) + 1) < 0.75 or not alone and (f[0] == "=" or len(longer) < 3)):
+            continue
+        covered |= rows
+        chosen[f] = -math.log(1 - share[f])
+    if len(chosen) > FEATURES:
+        chosen = dict(sorted(chosen.items(), key=lambda x: (-pos[x[0]], x[0]))[:FEATURES])
+    rest = [k for i, k in enumerate(kinds) if i not in covered]
+    return Scorer(model, chosen, min(0.45, (sum(rest) + 0.5) / (len(rest) + 1)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "toxic") -> Scorer:
