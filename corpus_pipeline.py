@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import exact_dedup, language_id, minhash, mixing, packing
-from plumbline.llm.common import table
+from plumbline.llm.common import forget, fresh_path, table, written
 
 LEAST_SHARE = 0.4
 WEIGHTS = mixing.WEIGHTS
@@ -58,8 +58,11 @@ STAGES = [("language_id", languages), ("exact_dedup", exact), ("near_dedup", nea
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start = written()
     for name, stage in STAGES:
-        docs = table(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = fresh_path(spark, f"stage-{name}")
+        docs = table(stage(spark, docs, sf_dir), name, path)
+        forget(start, but=path)  # once a stage is written, nothing needs what it or the one before it wrote
     return docs
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: White space that separates words in the row contracts: space, tab to carriage return.
 SPACE = " \t\n\v\f\r"
 _shipped: set[str] = set()
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,24 +27,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def forget(since: int = 0, but: str = "\0") -> None:
+    """Delete what was written since the given number of paths, except under the path `but`."""
+    for spark, path in _made[since:]:
+        if path != but:
+            for p in (path, f"{path}-arrivals"):
+                p = spark._jvm.org.apache.hadoop.fs.Path(p)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _made[since:] = [x for x in _made[since:] if x[1] == but]
+
+
+def written() -> int:
+    """How many paths there are now, for `forget`."""
+    return len(_made)
+
+
+def at_exit(spark: SparkSession, path: str) -> None:
+    """Let the file system delete what is at `path` when the application ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, and is computed once."""
-    path = fresh_path(df.sparkSession, name)
+    path = path or fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Remove a table made by `table` that nothing needs any more."""
-    spark = df.sparkSession
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, so that Python tasks can import it wherever the driver runs from."""
     key = spark.sparkContext.applicationId

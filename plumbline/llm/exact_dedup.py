@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, has_rows, table, text_of
+from .common import at_exit, fresh_path, has_rows, table, text_of
 
 #: Disk-backed state. Space isn't allocated ahead: with many stores of little state each, that would be most of the disk used.
 STATE_CONF = {
@@ -59,7 +59,7 @@ class KeyedState:
     """Digest -> rows seen and who stays, kept by a stream in `folder`. `take` may be called again with new arrivals."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark, self.folder = spark, folder or fresh_path(spark, "dedup-state")
+        self.spark, self.folder, self.own = spark, folder or fresh_path(spark, "dedup-state"), folder is None
 
     def take(self, log: DataFrame) -> None:
         """Append the arrivals to the stream's input and run it over what it hasn't taken in yet; returns when that is in the state."""
@@ -75,6 +75,9 @@ class KeyedState:
                 seen.writeStream.format("noop").outputMode("update").option("checkpointLocation", self.folder)
                 .trigger(availableNow=True).start().awaitTermination()
             )
+            if self.own:  # a state without a folder of its user's lasts as long as the application
+                at_exit(self.spark, self.folder)
+                at_exit(self.spark, arrived)
         finally:
             for k, v in old.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)

@@ -75,16 +75,15 @@ def fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     return d.withColumn("given", given.cast("long")).drop("__r", "__capped", "__w", "__left", "__full", "__s")
 
 
-def budgets(leaves: DataFrame, total: Column | int, weights: Mapping[str, int], default: int = 1, max_epochs: int = 1) -> DataFrame:
+def budgets(leaves: DataFrame, total: tuple[int, int] | int, weights: Mapping[str, int], default: int = 1, max_epochs: int = 1) -> DataFrame:
     """leaves (domain, language, source_name, supply) with `budget`: the tokens each is to give. `total`: tokens, or share of the supply as (num, den)."""
     leaf = leaves.withColumn("cap", F.col("supply") * max_epochs)
-    if isinstance(total, tuple):
-        total = F.expr(f"cast((cast(__all as decimal(38,0)) * {int(total[0])}) div {int(total[1])} as bigint)")
-        root = leaf.agg(F.sum("supply").alias("__all")).select(F.coalesce(total, F.lit(0)).alias("budget"))
-    else:
-        root = leaf.agg(F.count(F.lit(1)).alias("__n")).select(F.lit(total).cast("long").alias("budget"))
-    d = leaf.groupBy("domain").agg(F.sum("cap").alias("cap")).join(root.hint("broadcast"))  # one row
+    d = leaf.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("supply").alias("__supply"))
     d = d.withColumns({"w": weight(LEVELS[:1], weights, default), "__root": F.lit(0)})
+    if isinstance(total, tuple):  # a share of what all domains have
+        d = d.withColumn("__all", F.sum("__supply").over(Window.partitionBy("__root")))
+        total = F.expr(f"cast((cast(__all as decimal(38,0)) * {int(total[0])}) div {int(total[1])} as bigint)")
+    d = d.withColumn("budget", F.lit(total).cast("long") if isinstance(total, int) else total)
     d = fill(d, ["__root"], "domain").select("domain", F.col("given").alias("budget"))
     la = leaf.groupBy("domain", "language").agg(F.sum("cap").alias("cap")).join(d, "domain")
     la = fill(la.withColumn("w", weight(LEVELS[:2], weights, default)), ["domain"], "language").select("domain", "language", F.col("given").alias("budget"))
