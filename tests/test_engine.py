@@ -201,3 +201,13 @@ def test_pushdown(spark):
     li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     plan = R.project(R.select(li, F.col("l_quantity") > 45), {"l_tax": "l_tax"})._jdf.queryExecution().toString()
     assert "GreaterThan(l_quantity,45.0)" in plan and "ReadSchema: struct<l_quantity:double,l_tax:double>" in plan
+
+
+@pytest.mark.parametrize("n,k", [(1, 1), (10, 3), (1000, 37)])
+def test_generated_columns(spark, n, k):
+    from plumbline import sources as G
+
+    df = G.rows(spark, n, {"u": G.unique(n, 3), "c": G.of_cardinality(k, 5), "r": G.uniform(7, -5, 5)})
+    got = df.collect()
+    assert sorted(r["u"] for r in got) == list(range(n)) and {r["c"] for r in got} == set(range(k)) and all(-5 <= r["r"] <= 5 for r in got)
+    assert got == df.repartition(3).orderBy("u").collect() or sorted(got) == sorted(df.repartition(3).collect())
