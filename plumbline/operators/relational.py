@@ -55,6 +55,11 @@ def partitioned_join(left: DataFrame, right: DataFrame, left_key: str, right_key
     return join(left, right, [left_key], [right_key], "shuffle_hash")
 
 
+def partition(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """The rows dealt by key, so that joins and groups on it need no exchange; without `parts` adaptive execution sizes them."""
+    return df.repartition(parts, key) if parts else df.repartition(key)
+
+
 def semi_reduce(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Rows of the left whose key occurs on the right: what is left of the left side once parts without partner are gone."""
     r = right.select(F.col(right_key).alias("__k")).distinct()

@@ -307,8 +307,12 @@ def apply(head: str, args: list, env: Env) -> Any:
             return R.order(relation(args[0], env), by(args[1]))
         case "Top":
             return R.top(relation(args[0], env), by(args[1]), args[2])
-        case "Gather":
+        case "Gather":  # row places are the filter's own business
             return relation(args[0], env)
+        case "RadixPartition":
+            df = relation(args[0], env)
+            keys = [k.args[0].name for k in args[1:] if isinstance(k, Node) and k.head == "Partition" and k.args and isinstance(k.args[0], Sym)]
+            return R.partition(df, keys[0]) if keys and keys[0] in df.columns else df
         case "Set":
             name = args[0].name if isinstance(args[0], Sym) else args[0]
             if not env.settings.knows(name):

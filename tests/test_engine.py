@@ -113,6 +113,16 @@ def test_joins(spark, lk, rk, want):
     assert "ShuffledHashJoin" in R.partitioned_join(t["L"], t["R"], "k", "o")._jdf.queryExecution().toString() or not want
 
 
+def test_partitioned_inputs_and_gather(spark):
+    t = {"L": table_literal(spark, {"k": [1, 2, 3, 4]}), "R": table_literal(spark, {"o": [2, 4, 6]})}
+    part = lambda n, k: H.RadixPartition(y(n), H.Partition(y(k)))
+    got = run(spark, H.Join(part("L", "k"), part("R", "o"), H.Where(H.Equal(y("k"), y("o")))), tables=t)
+    assert rows(got) == [(2, 2), (4, 4)] and rows(run(spark, H.Gather(y("R"), H.List(0)), tables=t)) == [(2,), (4,), (6,)]
+    grouped = R.group(R.partition(t["L"], "k", 3), ["k"], {"n": F.count("k")})
+    assert grouped._jdf.queryExecution().toString().count("Exchange hashpartitioning") <= 2 and grouped.count() == 4
+    assert run(spark, H.RadixPartition(y("none"))) == H.RadixPartition(y("none"))
+
+
 def test_composite_join_and_names(spark):
     t = {"L": table_literal(spark, {"a": [1, 2], "b": [5, 6], "n": [1, 1]}), "R": table_literal(spark, {"c": [1, 2], "d": [5, 7], "n": [9, 9]})}
     keys = H.Where(H.Equal(H.List(y("a"), y("b")), H.List(y("c"), y("d"))))
