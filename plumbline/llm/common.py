@@ -97,5 +97,10 @@ def text_of(c: str = "text"):
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """A written table, for sending to every task if it is counted to have no more than `most` rows; else as it is."""
+    return df.hint("broadcast") if df.limit(most + 1).count() <= most else df
+
+
 def has_rows(df: DataFrame) -> bool:
     return bool(df.limit(1).count())

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, small, table
 from .tokens import SLICE, PieceBpe, piece_bpe
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -36,6 +36,8 @@ FIGURES = ("chars_per_token", "byte_share", "entropy")
 #: Median deviations below and above the median that the band reaches, and its least half-widths.
 WIDTH = {"chars_per_token": (12, 12), "byte_share": (12, 12), "entropy": (7.5, 12)}
 FLOOR = {"chars_per_token": (0.45, 0.45), "byte_share": (0.06, 0.06), "entropy": (0.4, 0.8)}
+#: Groups up to which their figures are sent to every task.
+GROUPS = 20_000
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, script string"
 
 
@@ -124,6 +126,7 @@ def bands(m: DataFrame, min_tokens: int, min_group: int) -> DataFrame:
     """grp, and lo_ / hi_ of each figure: median and median deviation over all measured texts that pass the base rules."""
     good = m.filter(~F.col("base_failed") & (F.col("n_tokens") >= min_tokens))
     mid = good.groupBy("grp").agg(F.count(F.lit(1)).alias("__n"), *[F.percentile_approx(f, 0.5, 1000).alias(f"mid_{f}") for f in FIGURES]).filter(F.col("__n") >= min_group)
+    mid = small(table(mid, "fertility-medians"), GROUPS)  # so that no rows are dealt by group, of which there are few
     dev = good.join(mid, "grp").groupBy("grp").agg(
         *[F.first(f"mid_{f}").alias(f"mid_{f}") for f in FIGURES], *[F.percentile_approx(F.abs(F.col(f) - F.col(f"mid_{f}")), 0.5, 1000).alias(f"dev_{f}") for f in FIGURES]
     )
@@ -137,7 +140,7 @@ def judge(docs: DataFrame, key: str = "doc_id", lang_col: str | None = "lang", *
     half_power = F.floor(2 * F.log2(F.greatest("n_tokens", F.lit(1)))).cast("string")
     m = m.withColumns({"base_failed": base_failed(), "grp": F.concat_ws("/", F.coalesce("lang", F.concat(F.lit("script:"), "script")), half_power)})
     m = table(m, "fertility")
-    b = table(bands(m, min_tokens, min_group), "fertility-bands")
+    b = small(table(bands(m, min_tokens, min_group), "fertility-bands"), GROUPS)
     out = [F.when((F.col("n_tokens") >= min_tokens) & ((F.col(f) < F.col(f"lo_{f}")) | (F.col(f) > F.col(f"hi_{f}"))), F.lit(f)) for f in FIGURES]
     j = m.join(b, "grp", "left").withColumn("outside", F.array_compact(F.array(*out)))
     cols = [c for c in m.columns if c not in ("key", "grp")]
