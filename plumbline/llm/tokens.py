@@ -89,10 +89,8 @@ class WordBpe:
         split = [self.chunks(t) for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new: set[str] = set()
-        for s in split:
-            new.update(s)
-        self.learn([c for c in new if c not in self.memo])
+        new: set[str] = set().union(*split)
+        self.learn(new.difference(self.memo))
         get = self.memo.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
@@ -121,7 +119,7 @@ class PieceBpe:
         new: set[str] = set()
         for s in texts:
             new.update(s)
-        part = [c for c in new if c not in self.memo]
+        part = list(new.difference(self.memo))
         for c, ids in zip(part, self.t.encode(part, num_threads=1) if part else [], strict=True):
             self.memo[c] = np.array(ids, "<u2").tobytes()
         get = self.memo.__getitem__
