@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,19 +36,14 @@ def sha256(text: Column) -> Column:
 def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(docs with __file and __row, rows of digest, id, locator). The locator is file and row index in it.
 
-    Rows that don't come straight from files are written to the shared folder first, so that their place is stable.
+    `docs` is a scan of files, filtered or not; any other rows are written to the shared folder first, so that each has a place.
     """
     where = {"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")}
-    keep = [F.col(f"`{c}`") for c in docs.columns]
+    docs = docs.drop("__file", "__row")
     try:
-        located = docs.select(*keep, *[c.alias(n) for n, c in where.items()])
-        located.schema  # noqa: B018  resolves the metadata columns, or fails
-        if "__file" in docs.columns:
-            raise ValueError("located already")
-    except Exception as e:  # AnalysisException: no such metadata here
-        if "_metadata" not in str(e) and "located" not in str(e):
-            raise
-        docs = table(docs.drop("__file", "__row"), "located")
+        located = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(n) for n, c in where.items()])
+    except AnalysisException:  # these rows have no file metadata
+        docs = table(docs, "located")
         located = docs.select("*", *[c.alias(n) for n, c in where.items()])
     log = located.select(
         digest(text_of()).alias("digest"), F.struct(F.col(id_col).alias("id"), F.col("__file").alias("file"), F.col("__row").alias("row")).alias("at")
@@ -102,7 +98,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", state: KeyedState | Non
 
     A given `state` also counts what it took in before this call.
     """
-    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
+    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256", "__file", "__row")
     spark = docs.sparkSession
     located, log = arrivals(docs, digest, id_col)
     state = state or KeyedState(spark)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import small, table
 
 #: Ranges of the seeded key in a leaf: three hexadecimal digits.
 HEX = 3
@@ -104,13 +104,12 @@ def mix(
     )
     leaf = [F.col(a).alias(b) for a, b in zip(("__domain", "__language", "__source"), LEVELS, strict=True)]
     leaves = table(budgets(rows.groupBy(*leaf).agg(F.sum("tokens").alias("supply")), total, weights, default, max_epochs), "leaf-budgets")
-    small = leaves.count() <= SMALL_LEAVES
     plan = leaves.select(
         *[F.col(b).alias(f"__l_{b}") for b in LEVELS], F.col("budget").alias("leaf_budget"),
         F.expr("case when supply > 0 then budget div supply else 0L end").alias("__whole"), F.expr("case when supply > 0 then budget % supply else 0L end").alias("__rest"),
     )
     on = (F.col("__domain") == F.col("__l_domain")) & (F.col("__language") == F.col("__l_language")) & (F.col("__source") == F.col("__l_source_name"))
-    rows = rows.join(plan.hint("broadcast") if small else plan, on)
+    rows = rows.join(small(plan, SMALL_LEAVES), on)
     # the order of the epoch that is cut: its seed, its number and the row's id
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = rows.withColumn("__key", key).withColumn("__range", F.substring("__key", 1, HEX))

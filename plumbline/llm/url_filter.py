@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Rules that may be held in the plan itself, as a map from token to rules.
-MAX_INLINE = 2_000
+MAX_INLINE = 200
 
 
 @dataclass(frozen=True)
