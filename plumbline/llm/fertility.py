@@ -5,8 +5,10 @@ text the vocabulary doesn't know, as noise, codes or broken encoding), the share
 the token distribution in bits (low for repetition and for signs strewn between words). A text is rejected if a figure lies
 outside the band of its group. The entropy grows with length, so a group is a language, where it is known, else a script,
 and a length class of half a power of two in tokens. Bands are set from all texts of the group that pass the base rules: the
-median, WIDTH times the median deviation from it to either side, but FLOOR at least. Texts under `min_tokens` tokens and groups
-under `min_group` texts are judged by the base rules alone.
+median, WIDTH times the median deviation from it to either side, but FLOOR at least. A group under `min_group` texts is judged by
+the next coarser one that has as many: the language over all lengths, then the script, then all texts, whose entropy is taken
+less its growth with length (DRIFT). Script and all texts have wider floors, as clean texts of a rare language differ from the
+others. Where all texts are too few, LIMITS hold. Only texts under `min_tokens` tokens are judged by the base rules alone.
 
 Base rules: words are `[^\\x20\\x09-\\x0D]+`; a text fails with under 50 words, or if over half of its words lie in 3-word windows
 that occur twice or more in it (the first occurrence too). Null text has no words. Empty texts fail. Rows and other columns pass as they are.
@@ -36,6 +38,13 @@ FIGURES = ("chars_per_token", "byte_share", "entropy")
 #: Median deviations below and above the median that the band reaches, and its least half-widths.
 WIDTH = {"chars_per_token": (12, 12), "byte_share": (12, 12), "entropy": (7.5, 12)}
 FLOOR = {"chars_per_token": (0.45, 0.45), "byte_share": (0.06, 0.06), "entropy": (0.4, 0.8)}
+#: The same where languages, and where scripts are mixed.
+MIXED_FLOOR = ({"chars_per_token": (1.2, 1.2), "byte_share": (0.15, 0.15), "entropy": (1.0, 1.2)}, {"chars_per_token": (1.6, 1.6), "byte_share": (0.2, 0.2), "entropy": (2.0, 2.0)})
+FLOORS = (FLOOR, FLOOR, *MIXED_FLOOR)
+#: What entropy lacks at n tokens of what it comes to in long texts: DRIFT[0] * n ** DRIFT[1], from medians by length of the given texts.
+DRIFT = (15.9, -4 / 7)
+#: Least and greatest figures of texts in any language, for tables too small to set a band from.
+LIMITS = {"chars_per_token": (0.6, 4.5), "byte_share": (0.0, 0.25), "entropy": (3.5, 9.5)}
 #: Groups up to which their figures are sent to every task.
 GROUPS = 20_000
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, script string"
@@ -122,28 +131,52 @@ def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def groups_of() -> list:
+    """The groups a text is in, from fine to coarse."""
+    half_power = F.floor(2 * F.log2(F.greatest("n_tokens", F.lit(1)))).cast("string")
+    unit = F.coalesce("lang", F.concat(F.lit("script:"), "script"))
+    return [F.concat_ws("/", F.lit("0"), unit, half_power), F.concat_ws("/", F.lit("1"), unit), F.concat_ws("/", F.lit("2"), "script"), F.lit("3")]
+
+
+def figure(f: str, level):
+    """The figure as groups of that level compare it: where lengths are mixed, entropy is less its growth."""
+    long = F.col(f) + DRIFT[0] * F.pow(F.greatest("n_tokens", F.lit(1)).cast("double"), F.lit(DRIFT[1]))
+    return F.when(level > 0, long).otherwise(F.col(f)) if f == "entropy" else F.col(f)
+
+
 def bands(m: DataFrame, min_tokens: int, min_group: int) -> DataFrame:
-    """grp, and lo_ / hi_ of each figure: median and median deviation over all measured texts that pass the base rules."""
-    good = m.filter(~F.col("base_failed") & (F.col("n_tokens") >= min_tokens))
-    mid = good.groupBy("grp").agg(F.count(F.lit(1)).alias("__n"), *[F.percentile_approx(f, 0.5, 1000).alias(f"mid_{f}") for f in FIGURES]).filter(F.col("__n") >= min_group)
-    mid = small(table(mid, "fertility-medians"), GROUPS)  # so that no rows are dealt by group, of which there are few
-    dev = good.join(mid, "grp").groupBy("grp").agg(
-        *[F.first(f"mid_{f}").alias(f"mid_{f}") for f in FIGURES], *[F.percentile_approx(F.abs(F.col(f) - F.col(f"mid_{f}")), 0.5, 1000).alias(f"dev_{f}") for f in FIGURES]
-    )
-    reach = lambda f, side: F.greatest(F.col(f"dev_{f}") * WIDTH[f][side], F.lit(FLOOR[f][side]))
-    return dev.select("grp", *[(F.col(f"mid_{f}") - reach(f, 0)).alias(f"lo_{f}") for f in FIGURES], *[(F.col(f"mid_{f}") + reach(f, 1)).alias(f"hi_{f}") for f in FIGURES])
+    """level, grp, and lo_ / hi_ of each figure: median and median deviation over all measured texts that pass the base rules."""
+    good = m.filter(~F.col("base_failed") & (F.col("n_tokens") >= min_tokens)).select("n_tokens", *FIGURES, F.posexplode(F.array(*groups_of())).alias("level", "grp"))
+    good = good.select("level", "grp", *[figure(f, F.col("level")).alias(f) for f in FIGURES])
+    mid = good.groupBy("level", "grp").agg(F.count(F.lit(1)).alias("__n"), *[F.percentile_approx(f, 0.5, 1000).alias(f"mid_{f}") for f in FIGURES]).filter(F.col("__n") >= min_group)
+    mid = table(mid, "fertility-medians")
+    dev = None
+    for part in ("level < 2", "level >= 2"):  # medians are sent to the tasks, so that no rows are dealt by group; of scripts there are few in any table
+        sent = small(mid.filter(part), GROUPS) if part == "level < 2" else mid.filter(part).hint("broadcast")
+        d = good.filter(part).join(sent.drop("level"), "grp").groupBy("level", "grp").agg(
+            *[F.first(f"mid_{f}").alias(f"mid_{f}") for f in FIGURES], *[F.percentile_approx(F.abs(F.col(f) - F.col(f"mid_{f}")), 0.5, 1000).alias(f"dev_{f}") for f in FIGURES]
+        )
+        dev = d if dev is None else dev.unionByName(d)
+    floor = lambda f, side: F.element_at(F.array(*[F.lit(x[f][side]) for x in FLOORS]), F.col("level") + 1)
+    reach = lambda f, side: F.greatest(F.col(f"dev_{f}") * WIDTH[f][side], floor(f, side))
+    return dev.select("level", "grp", *[(F.col(f"mid_{f}") - reach(f, 0)).alias(f"lo_{f}") for f in FIGURES], *[(F.col(f"mid_{f}") + reach(f, 1)).alias(f"hi_{f}") for f in FIGURES])
 
 
 def judge(docs: DataFrame, key: str = "doc_id", lang_col: str | None = "lang", *, min_tokens: int = 100, min_group: int = 30, folder: str | None = None) -> DataFrame:
     """Per row: the key, all measures, base_failed, outside (names of the figures out of band) and kept. Keys may repeat."""
-    m = measured(docs, key, lang_col, folder)
-    half_power = F.floor(2 * F.log2(F.greatest("n_tokens", F.lit(1)))).cast("string")
-    m = m.withColumns({"base_failed": base_failed(), "grp": F.concat_ws("/", F.coalesce("lang", F.concat(F.lit("script:"), "script")), half_power)})
-    m = table(m, "fertility")
-    b = small(table(bands(m, min_tokens, min_group), "fertility-bands"), GROUPS)
-    out = [F.when((F.col("n_tokens") >= min_tokens) & ((F.col(f) < F.col(f"lo_{f}")) | (F.col(f) > F.col(f"hi_{f}"))), F.lit(f)) for f in FIGURES]
-    j = m.join(b, "grp", "left").withColumn("outside", F.array_compact(F.array(*out)))
-    cols = [c for c in m.columns if c not in ("key", "grp")]
+    m = table(measured(docs, key, lang_col, folder).withColumn("base_failed", base_failed()), "fertility")
+    b = table(bands(m, min_tokens, min_group), "fertility-bands")
+    j, verdicts = m, []
+    for level, grp in enumerate(groups_of()):
+        at = b.filter(F.col("level") == level)
+        at = at.select(F.col("grp").alias(f"grp{level}"), *[F.col(f"{side}_{f}").alias(f"{side}{level}_{f}") for f in FIGURES for side in ("lo", "hi")])
+        j = j.join(small(at, GROUPS) if level < 2 else at.hint("broadcast"), grp == F.col(f"grp{level}"), "left")
+        x = {f: figure(f, F.lit(level)) for f in FIGURES}
+        out = [F.when((x[f] < F.col(f"lo{level}_{f}")) | (x[f] > F.col(f"hi{level}_{f}")), F.lit(f)) for f in FIGURES]
+        verdicts.append(F.when(F.col(f"grp{level}").isNotNull(), F.array_compact(F.array(*out))))
+    verdicts.append(F.array_compact(F.array(*[F.when(~F.col(f).between(*LIMITS[f]), F.lit(f)) for f in FIGURES])))
+    j = j.withColumn("outside", F.when(F.col("n_tokens") >= min_tokens, F.coalesce(*verdicts)).otherwise(F.array().cast("array<string>")))
+    cols = [c for c in m.columns if c != "key"]
     return j.select(F.col("key").alias(key), *cols, "outside", (~F.col("base_failed") & (F.size("outside") == 0)).alias("kept"))
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import sys
@@ -59,6 +60,33 @@ def test_noise_is_rejected(spark):
     assert not got[10_000]["kept"] and got[10_000]["byte_share"] > 0.5 and not got[10_001]["kept"]
 
 
+def test_thin_groups_are_judged(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang")
+    got = {x["doc_id"]: x for x in Q.judge(docs).collect()}
+    size = {}
+    group = lambda x: (x["lang"], int(2 * math.log2(x["n_tokens"])))
+    for x in got.values():
+        if not x["base_failed"] and x["n_tokens"] >= 100:
+            size[group(x)] = size.get(group(x), 0) + 1
+    q = {x["doc_id"]: x["quality"] for x in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    thin = [(got[i]["kept"], v) for i, v in q.items() if not got[i]["base_failed"] and got[i]["n_tokens"] >= 100 and size[group(got[i])] < 30]
+    junk, clean = [k for k, v in thin if v == 0], [k for k, v in thin if v == 1]
+    assert len(junk) >= 5 and len(clean) > 100
+    assert sum(junk) <= 0.2 * len(junk) and sum(clean) >= 0.99 * len(clean)
+
+
+def test_noise_is_rejected_at_every_size(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter("doc_id < 300")
+    r = random.Random(1)
+    noise = "".join(chr(r.randint(0xE000, 0xE800)) + " " * (r.random() < 0.2) for _ in range(900))
+    rare = " ".join(r.choice("все люди рождаются свободными и равными в своем достоинстве правах они наделены разумом совестью должны поступать отношении друг друга духе братства".split()) for _ in range(120))
+    more = spark.createDataFrame([(10_000, noise, "xx"), (10_001, noise, None), (10_002, rare, "ru")], docs.schema)
+    for some in (docs.limit(0), docs.limit(5), docs):
+        got = {x["doc_id"]: x for x in Q.judge(some.unionByName(more)).filter("doc_id >= 10000").collect()}
+        assert not got[10_000]["kept"] and not got[10_001]["kept"] and got[10_002]["kept"]
+
+
 def test_measures_match_the_library(spark):
     from plumbline.llm.tokens import PieceBpe
 
