@@ -3,7 +3,8 @@
 Writers hide words by leetspeak (1d10t), by spacing or separators (i d i o t, i.d.i.o.t) and by repetition (idiooot). A token
 that shows such signs becomes a lattice: every character may be a letter it stands for, may be itself, or may be deleted, each
 at a channel cost. Viterbi finds the likeliest letter string under a character trigram model, whose counts come from all
-texts of the corpus. Texts are scored after restoring: features are restored words and their beginnings (for inflected
+texts of the corpus. Spaced runs start with and hold any letter, digit or sign that stands for a letter, at any length and with any
+gaps; links (`://`) and what has no letter are read as they are. Texts are scored after restoring: features are restored words and their beginnings (for inflected
 forms), chosen and weighted on labelled texts by their log-odds and a logistic regression over presence.
 
 The counts of the language model cover every document. The features are chosen on at most SAMPLE labelled documents, the
@@ -42,8 +43,10 @@ LEET = {
 SEPARATORS = " .-_*·"
 #: Channel costs in nats: a sign read as a letter, a sign or separator dropped, a repeated letter dropped, a space kept.
 COST_LEET, COST_DROP, COST_REPEAT, COST_SPACE = 0.5, 8.0, 0.7, 1.5
-#: Longest token that is decoded; longer ones are codes, links or keys and are read as they are.
+#: Longest token that is decoded as it stands; longer ones have their repeats cut to two first.
 LONGEST = 32
+#: Signs decoded at once, and how many of them neighbouring windows of longer tokens and runs share.
+WINDOW, SHARED = 4096, 128
 #: Labelled documents the regression is fitted on, at most.
 SAMPLE = 12_000
 FEATURES = 2_000
@@ -52,11 +55,16 @@ LEAST, SURE = 6, 0.6
 PREFIXES = (4, 5, 6, 7)
 MEMO = 300_000
 
-SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*·]{1,2}[^\W_]){2,23}(?![^\W_])")
+SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+€£¡])(?:[ \t.\-_*·]+(?:[^\W_]|[@$!|+€£¡])){2,}(?![^\W_])")
+GAP = re.compile(r"[ \t.\-_*·]+")
+WIDE = re.compile(r"[ \t]{2,}")
+SIGNS = "@$!|+€£¡"
+SIGN_RUN = re.compile(r"([@$!|+€£¡])\1+")
+REPEATS = re.compile(r"(.)\1\1+")
 EDGE = "\"'`.,;:?()[]{}<>«»“”‘’…–—#%&*/\\~^=-_"
 PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 RUN = re.compile(r"([^\W\d_])\1\1")
-#: Two or more of one sign, or marks of speech, after or before plain letters are ornament.
+#: Signs after or before plain letters are ornament; where they may stand for letters, both readings count.
 TAIL = re.compile(r"^[^\w]*([^\W\d_]+)[^\w]*$")
 
 
@@ -106,7 +114,7 @@ class CharModel:
         """The likeliest reading of a noisy token (lower case); spaces that stay are in it."""
         self.start()
         lp = self.rows
-        states: dict[tuple[int, int], tuple[float, str, str]] = {(0, 0): (0.0, "", "")}
+        states: dict[tuple[int, int], tuple[float, tuple | None, str]] = {(0, 0): (0.0, None, "")}  # texts are linked from their ends
         for ch in token:
             options: list[tuple[str, float]] = []
             if ch in CODE:
@@ -119,7 +127,7 @@ class CharModel:
                 options = [("", 0.0), (" ", COST_SPACE)]
             else:
                 options = [("", 0.5 if ch in SEPARATORS else COST_DROP)]
-            new: dict[tuple[int, int], tuple[float, str, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None, str]] = {}
             for (a, b), (s, out, last) in states.items():
                 opts = options + [("", COST_REPEAT)] if ch.isalpha() and ch == last else options
                 for x, cost in opts:
@@ -127,11 +135,21 @@ class CharModel:
                         key, score, text = (a, b), s - cost, out
                     else:
                         c = 0 if x == " " else CODE.get(x, OTHER)
-                        key, score, text = (b, c), s - cost + lp[a][b][c], out + x
+                        key, score, text = (b, c), s - cost + lp[a][b][c], (out, x)
                     if key not in new or new[key][0] < score:
                         new[key] = (score, text, ch)
             states = new
-        return max(((s + lp[a][b][0], out) for (a, b), (s, out, _) in states.items()), default=(0, ""))[1]
+        ends = [(s + lp[a][b][0], out) for (a, b), (s, out, _) in states.items()]
+        best = max(s for s, _ in ends)
+        return max(self.joined(out) for s, out in ends if s == best)
+
+    @staticmethod
+    def joined(out: tuple | None) -> str:
+        letters = []
+        while out:
+            out, x = out
+            letters.append(x)
+        return "".join(reversed(letters))
 
 
 class Restorer:
@@ -140,26 +158,52 @@ class Restorer:
     def __init__(self, model: CharModel):
         self.model, self.memo = model, {}
 
+    def read(self, token: str) -> list[str]:
+        """The words of the likeliest reading; very long tokens are read in windows that overlap."""
+        if len(token) <= WINDOW:
+            return self.model.decode(token).split()
+        return [w for i in range(0, len(token) - SHARED, WINDOW - SHARED) for w in self.model.decode(token[i : i + WINDOW]).split()]
+
+    def readings(self, token: str) -> list[str]:
+        """Words of the token, and of it with repeated signs as one."""
+        once = SIGN_RUN.sub(r"\1", token)
+        return self.read(token) + (self.read(once) if once != token else [])
+
     def token_words(self, token: str) -> tuple[str, ...]:
         """The words a white-space token (lower case) is read as."""
         m = TAIL.match(token)
         if m and not RUN.search(token):
             core = m[1]
             tail = token.strip(EDGE)
-            if len(tail) - len(core) == 1 and tail[0 if tail.endswith(core) else -1] in "$@|+€£" and len(core) >= 2:
-                return (core, *self.model.decode(tail).split())
+            if tail != core and len(core) >= 2 and (tail[0] in SIGNS or tail[-1] in SIGNS):
+                return tuple(dict.fromkeys([core, *self.readings(tail)]))
             return (core,)
         core = token.strip(EDGE)
         if not any(c.isalpha() for c in core):
             core = token
-        n_alpha = sum(map(str.isalpha, core))
         plain = PLAIN.findall(core)
         noisy = bool(RUN.search(core)) or any(c in LEET or c in SEPARATORS for c in core)
-        if not noisy or len(core) > LONGEST or n_alpha * 4 < len(core) or "://" in core:
+        if not noisy or not any(c.isalpha() for c in core) or "://" in core:
             return tuple(plain)
-        read = self.model.decode(core).split()
+        whole = core if len(core) <= LONGEST else REPEATS.sub(r"\1\1", core)
+        read = self.readings(whole)
+        if (inner := whole.strip(SIGNS)) != whole:
+            read += self.read(inner)
+        parts = GAP.split(whole)  # words that a separator joins
+        for p in {p for p in parts if len(p) > 2} if len(parts) > 1 else ():
+            read += self.readings(p)
         return tuple(dict.fromkeys([*(p for p in plain if len(p) > 2), *read]))
 
+    def spaced_words(self, run: str) -> list[str]:
+        """The words of a run of single signs: as one, and cut at its wide gaps if it has narrow ones too."""
+        out = []
+        for part in {run, *WIDE.split(run)}:
+            part = GAP.sub(" ", part)
+            for p in {part, part.strip(SIGNS + " ")}:
+                if any(c.isalpha() for c in p) and len(p) > 2:
+                    out += self.read(p)
+        return out
+
     def words(self, text: str) -> set[str]:
         low = text.lower()
         out: set[str] = set()
@@ -169,10 +213,12 @@ class Restorer:
         for t in set(low.split()):
             w = memo.get(t)
             if w is None:
-                w = memo[t] = self.token_words(t)
+                w = self.token_words(t)
+                if len(t) <= 4 * LONGEST:
+                    memo[t] = w
             out.update(w)
         for m in SPACED.finditer(low):
-            out.update(self.model.decode(m[0]).split())
+            out.update(self.spaced_words(m[0]))
         return out
 
 

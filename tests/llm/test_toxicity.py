@@ -62,6 +62,20 @@ def test_obfuscated_scores_as_plain(scorer):
     assert scorer.score(clean) < 0.5 and scorer.score("") < 0.5
 
 
+def test_obfuscations_reach_the_decoder(scorer):
+    clean = "the thing and that er the ontion of this are and from with"
+    spaced = " ".join("the thing and that is from with other".replace(" ", ""))
+    for noisy in [
+        "1 d 1 0 t", "i d ! 0 t", "i   d   i   o   t", "!diot", "1d1ooooooooooooooooooooooooooooooooooooot", "i" * 50 + "diot", "m.0.r.0.n", "1d107",
+        f"{spaced} i d i o t {spaced}", f"{spaced}   i d i o t", "x-" * 40 + "1d10t",
+    ]:
+        assert scorer.score(f"{clean} {noisy} {clean}") > 0.5, noisy
+    assert scorer.score(f"{clean}! a | b | c 1 2 3 4 5 6 + 7 {clean}!!") < 0.5
+    words = scorer.restore.words
+    assert "scum" in words("you $cum") and "stupid" in words("$ t u p i d") and "stupid" in words("s t u p ! d") and "stupid" in words("$$$tupid") and "fine" in words("fine!")
+    scorer.score("a b " * 20_000 + "1d10t" * 20_000)  # grows with the length only
+
+
 def test_held_out(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{D}/labels.parquet").collect()}
     got = [(r["predicted"], labels[r["doc_id"]]) for r in T.op1_toxicity(spark, D).collect() if r["held_out"] and r["doc_id"] in labels]
