@@ -8,7 +8,7 @@ what it holds never changes a result. `tests/llm` compares whole texts with the
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +19,8 @@ from .common import tokenizer_path
 MEMO = 800_000
 #: Texts split into chunks at a time; bounds a worker's memory whatever the batch size.
 SLICE = 256
+#: Characters of such a slice, unless one text has more.
+SLICE_CHARS = 4_000_000
 #: Words sent to the library as one text.
 JOINED = 512
 
@@ -27,6 +29,23 @@ _BREAK = np.isin(np.arange(256), [10, 32])
 _MARK = np.isin(np.arange(256), [44, 46])
 
 
+def cuts(sizes: Iterable[int], rows: int = SLICE, chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """(from, to) of stretches of at most `rows` texts and `chars` characters; a longer text is a stretch of its own."""
+    at, total, i = 0, 0, -1
+    for i, n in enumerate(sizes):
+        if i > at and (i - at >= rows or total + n > chars):
+            yield at, i
+            at, total = i, 0
+        total += n
+    if i >= at:
+        yield at, i + 1
+
+
+def slices(texts: list[str], rows: int = SLICE, chars: int = SLICE_CHARS) -> Iterator[list[str]]:
+    for lo, hi in cuts(map(len, texts), rows, chars):
+        yield texts[lo:hi]
+
+
 class WordBpe:
     """`tokenizers` file whose pre-tokenizer drops white space (word_bpe_49k.json): ids as little-endian uint32 bytes."""
 

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -41,6 +42,61 @@ def test_broken(extract, text, want):
     assert isinstance(got, str) and (want is None or got == want)
 
 
+ARTICLE = f"<article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article>"
+WANT = "\n\n".join(["T", LONG.strip(), LONG.strip()])
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<datalist><option value=a>one<option value=b>two</datalist>", "<select><option>A<option>B", "<audio src=x>", "<video src=x>no video here", "<object data=x>", "<!-->", "<!--->", "<!-- a --!>",
+        "<template><div><template>inner</template>leak</div></template>", "<svg><title>x</title><path d='a'/></svg>", "<iframe src=x></iframe>", "<title>abc", "<p title=don't>", "<noscript><p>Please enable JavaScript.</p></noscript>",
+        "<textarea>unfinished", "</ 3 >", "<canvas>", "<script>if (a < b) x = '<p>'</script >",
+    ],
+)
+def test_article_survives(extract, before):
+    """Nothing that is left open, or odd, before an article costs it its text."""
+    assert extract([f"<html><body>{before}{ARTICLE}</body></html>"])[0] == WANT
+
+
+NAV = "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>News</a></li></ul></nav>"
+
+
+def test_short_articles_and_links(extract):
+    assert extract([NAV + "<div class=story><p>Short one.</p></div>"])[0] == "Short one."
+    see = "<p>See also: <a href=/x>Another story of the sea</a></p>"
+    for tag in ("article", "div class=story", "div"):
+        got = extract([f"<html><body>{NAV}<{tag}><h1>T</h1><p>{LONG}</p>{see}<p>{LONG}</p></{tag.split()[0]}><footer>&copy; site</footer></body></html>"])[0]
+        assert got.split("\n\n") == ["T", LONG.strip(), "See also: Another story of the sea", LONG.strip()]
+
+
+def test_formatting_outlives_blocks_and_cells_hold():
+    blocks = lambda p: ["".join(t for _, t in b) for b in H.parse(p).blocks]
+    assert blocks("<p>a <b>b</p><p>c</b> d</p>") == ["a b", "c d"]
+    assert blocks("<div><table><tr><td>a</div>b<td>c</table>d</div>e") == ["a", "b", "c", "d", "e"]
+    assert blocks("<p>a<script>x</script>b <select><option>o</select>c</p>") == ["ab c"]
+    assert blocks('<p title="a>b" class=x>c</p>') == ["c"] and blocks("a < b <p>c") == ["a < b ", "c"]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "<p>{}</p>" + "</div>" * 100_000, "<b><i><div>" * 30_000 + "<p>{}</p>" + "</x></b>" * 30_000, "<iframe>" * 100_000 + "<p>{}</p>", "<a b=\"" * 50_000 + "><p>{}</p>", "<!--" * 50_000 + "--><p>{}</p>"])
+def test_linear_time(extract, page):
+    start = time.time()
+    got = extract([page.format(LONG)])[0]
+    assert got in ("", LONG.strip()) and time.time() - start < 60
+
+
+def test_unseen_tokens(extract):
+    """Pages whose classes all are words that no training page has."""
+    r, score = random.Random(99), []
+    for _ in range(80):
+        p = re.sub(r'(class|id)="?[^">]*"?', lambda m: f'{m[1]}="zq{r.randint(0, 999)}"', H.synthetic_page(r))
+        d, main, rest = H.labelled_page(p)
+        got = extract([p.replace(H.MAIN, "").replace(H.REST, "")])[0]
+        want = max(1, main[0])
+        score.append(abs(len(got.replace("\n\n", "")) - want) / want < 0.15)
+    assert sum(score) / len(score) > 0.75
+
+
 def test_given_pages(spark):
     """The article element of the given pages, by its markup, is what comes out."""
     d = "/root/testdata/sf0.001"
@@ -76,7 +132,7 @@ def test_no_contradiction():
     d = H.parse(H.synthetic_page(r))
     import numpy as np
 
-    x, text = H.node_features(d)
+    x, text = H.node_features(d, {})
     for seed in range(20):
         kept = H.keep(d, np.random.default_rng(seed).normal(0, 2, len(x)), text)
         assert all(not kept[i] or kept[d.parent[i]] for i in range(1, len(kept)))
@@ -89,7 +145,7 @@ def test_keep_is_optimal():
 
     d = H.parse("<div><p>a</p><p>b</p></div><div><p>c</p></div>")
     n = len(d.tag)
-    _, text = H.node_features(d)
+    _, text = H.node_features(d, {})
     for seed in range(30):
         m = np.random.default_rng(seed).normal(0, 2, n)
         cost = lambda k: sum((np.logaddexp(0, -m[i]) if k[i] else np.logaddexp(0, m[i])) * (text[i] > 0) for i in range(1, n))
@@ -113,6 +169,13 @@ def test_columns_nulls_and_no_rows(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_and_clashing_names(spark):
+    p = f"<article><p>{LONG}</p></article>"
+    df = spark.createDataFrame([(1, p, None, 7, "n"), (1, p, None, 7, "n"), (None, p, "u", None, None)], "page_id int, html string, url string, n_chars int, `a.b` string")
+    got = H.extract(df).collect()
+    assert [(r["page_id"], r["n_chars"], r["a.b"], r["text"]) for r in got] == [(1, 7, "n", LONG.strip())] * 2 + [(None, None, None, LONG.strip())]
+
+
 def test_long_page(extract):
     body = "".join(f"<p>{LONG}</p>" for _ in range(3000))
     assert extract([page(f"<article>{body}</article>")])[0].count("\n\n") == 2999
