@@ -88,6 +88,24 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+def quoted(name: str) -> str:
+    """A column name as it must be written, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def same(df: DataFrame) -> list:
+    """The columns of df as they are."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer until no column of df has one of them."""
+    taken, end = {c.lower() for c in df.columns}, ""
+    while any((n + end).lower() in taken for n in names):
+        end += "_"
+    return [n + end for n in names]
+
+
 def crc_mod(c, m: int):
     """crc32 of the value as text, modulo m; null counts as the empty text."""
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % m

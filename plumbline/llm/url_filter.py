@@ -8,9 +8,13 @@ rules the literal tokens are the labels of the host and the whole segments of th
 Of the host rules that fit, the longest wins and gives the verdict; where none fits, a fitting pattern rule blocks, and all
 else is allowed. A host rule fits its host and every subdomain of it, if the path starts with the rule's path. Host: after
 the first "://" up to "/", "?", "#" or the end, with A-Z in lower case; path: from there up to "?", "#" or the end. Null URLs
-and those without "://" have an empty host and path, fit no rule and are allowed. All rows and other columns pass.
+and those without "://" have an empty host and path, fit no rule and are allowed. URLs of any length are read whole. All rows
+pass, equal ones with equal results, and so do all other columns, null or not, under any name; columns named as a result (host,
+path, rule, pattern, verdict) are replaced. An empty table gives an empty one.
 
-The rules are a parameter held in the plan; with more than MAX_INLINE of them the same lookup runs as a join on the token.
+Expressions run over host and path with "#" between them, which neither can hold. The rules are a parameter held in the plan;
+with more than MAX_INLINE of them the same lookup runs as a join on the token. A rule without a token would be a candidate
+for every URL; the rules of the query all have one.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from .common import table
+from .common import quoted, same, table, unused
 
 #: Rules that may be held in the plan itself, as a map from token to rules.
 MAX_INLINE = 200
@@ -42,13 +46,17 @@ class HostRule:
 
     @property
     def pattern(self) -> str:
-        """Over "host path": the host or a subdomain of it, and the beginning of the path."""
-        return rf"^(?:[^ ]*\.)?\Q{self.host}\E \Q{self.path}\E"
+        """Over "host#path": the host or a subdomain of it, and the beginning of the path."""
+        return rf"^(?:[^#]*\.)?{literal(self.host)}#{literal(self.path)}"
+
+
+def literal(text: str) -> str:
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
 @dataclass(frozen=True)
 class PatternRule:
-    """A regular expression over "host path"; `needs` are tokens of every text it matches."""
+    """A regular expression over "host#path"; `needs` are tokens of every text it matches."""
 
     name: str
     pattern: str
@@ -60,17 +68,31 @@ class PatternRule:
         return sorted(set(self.needs))
 
 
-#: The rules of the query, and pattern rules for hosts that sell or spam.
+def host_words(*words: str) -> PatternRule:
+    """The words next to each other in the host, with a sign before, between and after them."""
+    sign = r"[^#\p{L}\p{N}]"
+    return PatternRule("-".join(words), rf"^(?:[^#]*{sign})?{(sign + '+').join(words)}(?:{sign}|#)", words)
+
+
+def path_words(*words: str) -> PatternRule:
+    """The words, joined by a sign, as the beginning of a path segment."""
+    return PatternRule("/" + "-".join(words), rf"#[^#]*/{'[-_+.]'.join(words)}(?:[^\p{{L}}\p{{N}}]|$)", words)
+
+
+#: The rules of the query: those of its contract, then words of hosts that sell or spam and of paths without text of their own.
 HOST_RULES = (
     HostRule("allow", "org"), HostRule("block", "example.org", "/es/"), HostRule("block", "example.org", "/en/1"),
     HostRule("allow", "com", "/fr/"), HostRule("block", "com", "/de/"),
 )
 PATTERN_RULES = (
-    PatternRule("cheap-goods", r"(?:^|[.-])cheap-[a-z-]+\.", ("cheap",)),
-    PatternRule("pills", r"(?:^|[.-])(?:[a-z]+-)*pills(?:-[a-z]+)*\.", ("pills",)),
-    PatternRule("casino", r"(?:^|[.-])casino(?:-[a-z]+)*\.", ("casino",)),
-    PatternRule("free-download", r"/free-download(?:/|$|-)", ("free", "download")),
-    PatternRule("adult", r"(?:^|[.-])(?:xxx|porn)(?:-[a-z]+)*\.", ()),
+    *map(host_words, "casino casinos poker bets betting gambling slots lottery jackpot bingo".split()),
+    *map(host_words, "pills viagra cialis xanax tramadol steroids".split()),
+    *map(host_words, "adult porn porno xxx hentai escorts camgirls nudes".split()),
+    *map(host_words, "spam malware phishing warez cracked keygen torrents adserver adservice popunder doubleclick clickbait".split()),
+    PatternRule("cheap-goods", r"^(?:[^#]*[^#\p{L}\p{N}])?cheap-[^#]", ("cheap",)),
+    host_words("payday", "loans"), host_words("payday", "loan"), host_words("replica", "watches"), host_words("free", "download"), host_words("free", "downloads"), host_words("get", "rich"),
+    path_words("free", "download"), path_words("wp", "login"), path_words("wp", "admin"), path_words("cgi", "bin"),
+    *map(path_words, "login signin signup logout checkout unsubscribe".split()),
 )
 
 
@@ -118,34 +140,35 @@ def judge(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES,
     """All rows and columns with host, path, rule (of the host rule that won, else null), pattern (first that fits) and verdict."""
     host, path = host_path(F.col(url_col))
     rows = pages.drop("host", "path", "rule", "pattern", "verdict").withColumns({"host": host, "path": path})
-    keep = rows.columns
-    rows = rows.withColumns({"__t": tokens(F.col("host"), F.col("path")), "__u": F.concat_ws(" ", "host", "path")})
+    keep = same(rows)
+    t, u, c, b, p, w, h = unused(rows, *"__tokens __url __rules __best __pattern __id __host".split())
+    rows = rows.withColumns({t: tokens(F.col("host"), F.col("path")), u: F.concat_ws("#", "host", "path")})
     rules = sorted(host_rules, key=lambda r: (-len(r.name), r.name)) + list(pattern_rules)
     n_host = len(host_rules)
     wanted = sorted({t for r in rules for t in r.tokens})
-    by, loose = index(rules, token_counts(rows, wanted))
+    by, loose = index(rules, token_counts(rows.select(F.col(t).alias("__t")), wanted))
     spark = pages.sparkSession
     if len(rules) <= max_inline:
-        run = lambda i: F.rlike(F.col("__u"), F.lit(rules[i].pattern))
-        fetched = F.flatten(F.transform(F.array_intersect(F.col("__t"), F.array(*map(F.lit, by))), lambda t: F.element_at(F.create_map(*[x for k, v in by.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), t))) if by else F.array().cast("array<int>")
-        rows = rows.withColumn("__c", F.array_distinct(F.concat(fetched, F.array(*map(F.lit, loose)).cast("array<int>"))))
-        fits = [F.when(F.array_contains("__c", i) & run(i), F.lit(i)) for i in range(len(rules))]
+        run = lambda i: F.rlike(F.col(u), F.lit(rules[i].pattern))
+        filed = F.create_map(*[x for k, v in by.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if by else None
+        fetched = F.flatten(F.transform(F.array_intersect(F.col(t), F.array(*map(F.lit, by))), lambda x: F.element_at(filed, x))) if by else F.array().cast("array<int>")
+        rows = rows.withColumn(c, F.array_distinct(F.concat(fetched, F.array(*map(F.lit, loose)).cast("array<int>"))))
+        fits = [F.when(F.array_contains(c, i) & run(i), F.lit(i)) for i in range(len(rules))]
         best = F.coalesce(*fits[:n_host]) if n_host else F.lit(None).cast("int")
         pat = F.coalesce(*fits[n_host:]) if len(fits) > n_host else F.lit(None).cast("int")
-        rows = rows.withColumns({"__best": best, "__pat": pat})
-        name = lambda c, lo, hi, f: F.coalesce(*[F.when(c == i, F.lit(f(rules[i]))) for i in range(lo, hi)], F.lit(None).cast("string"))
-        rule, verdict = name(F.col("__best"), 0, n_host, lambda r: r.name), name(F.col("__best"), 0, n_host, lambda r: r.verdict)
-        pattern, pv = name(F.col("__pat"), n_host, len(rules), lambda r: r.name), name(F.col("__pat"), n_host, len(rules), lambda r: r.verdict)
-        return rows.select(*keep, rule.alias("rule"), pattern.alias("pattern"), F.coalesce(verdict, pv, F.lit("allow")).alias("verdict"))
+        rows = rows.withColumns({b: best, p: pat})
+        # of the rule that fits, by its number
+        of = lambda col, what: F.when(F.col(col) >= 0, F.element_at(F.array(*[F.lit(getattr(r, what)) for r in rules]), F.col(col) + 1)) if rules else F.lit(None).cast("string")
+        return rows.select(*keep, of(b, "name").alias("rule"), of(p, "name").alias("pattern"), F.coalesce(of(b, "verdict"), of(p, "verdict"), F.lit("allow")).alias("verdict"))
     # many rules: token -> rule as a table; the planner broadcasts it if it is small, and splits frequent tokens if not
-    filed = [(t, i) for t, v in by.items() for i in v] + [("", i) for i in loose]
-    index_rows = spark.createDataFrame([(t, i, i < n_host, rules[i].name, rules[i].pattern, rules[i].verdict) for t, i in filed], "t string, i int, hosted boolean, name string, pattern string, verdict string")
-    rows = table(rows.withColumn("__id", F.monotonically_increasing_id()), "urls")  # written, as the numbers must stay the same
-    cand = rows.select("__id", "__u", F.explode(F.concat(F.col("__t"), F.array(F.lit("")))).alias("t")).join(index_rows, "t").filter(F.expr("__u rlike pattern"))
+    filed = [(k, i) for k, v in by.items() for i in v] + [("", i) for i in loose]
+    index_rows = spark.createDataFrame([(k, i, i < n_host, rules[i].name, rules[i].pattern, rules[i].verdict) for k, i in filed], "t string, i int, hosted boolean, name string, pattern string, verdict string")
+    rows = table(rows.withColumn(w, F.monotonically_increasing_id()), "urls")  # written, as the numbers must stay the same
+    cand = rows.select(F.col(w).alias("w"), F.col(u).alias("u"), F.explode(F.concat(F.col(t), F.array(F.lit("")))).alias("t")).join(index_rows, "t").filter(F.expr("u rlike pattern"))
     one = F.struct("i", "name", "verdict")
-    won = cand.groupBy(F.col("__id").alias("__w")).agg(F.min(F.when(F.col("hosted"), one)).alias("__h"), F.min(F.when(~F.col("hosted"), one)).alias("__p"))
-    return rows.join(won, F.col("__id") == F.col("__w"), "left").select(
-        *keep, F.col("__h.name").alias("rule"), F.col("__p.name").alias("pattern"), F.coalesce("__h.verdict", "__p.verdict", F.lit("allow")).alias("verdict")
+    won = cand.groupBy("w").agg(F.min(F.when(F.col("hosted"), one)).alias(h), F.min(F.when(~F.col("hosted"), one)).alias(p)).withColumnRenamed("w", b)
+    return rows.join(won, F.col(w) == F.col(b), "left").select(
+        *keep, F.col(f"{h}.name").alias("rule"), F.col(f"{p}.name").alias("pattern"), F.coalesce(f"{h}.verdict", f"{p}.verdict", F.lit("allow")).alias("verdict")
     )
 
 
@@ -162,7 +185,5 @@ b AS (SELECT page_id, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTU
 c AS (SELECT *, CASE WHEN {_HOST('example.org')} AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN {_HOST('example.org')} AND starts_with(path, '/es/') THEN 'example.org/es/'
 WHEN {_HOST('com')} AND starts_with(path, '/de/') THEN 'com/de/' WHEN {_HOST('com')} AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN {_HOST('org')} AND starts_with(path, '/') THEN 'org/' END AS rule FROM b)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-WHEN regexp_matches(host || ' ' || path, '(?:^|[.-])cheap-[a-z-]+\.') OR regexp_matches(host || ' ' || path, '(?:^|[.-])(?:[a-z]+-)*pills(?:-[a-z]+)*\.')
-OR regexp_matches(host || ' ' || path, '(?:^|[.-])casino(?:-[a-z]+)*\.') OR regexp_matches(host || ' ' || path, '/free-download(?:/|$|-)')
-OR regexp_matches(host || ' ' || path, '(?:^|[.-])(?:xxx|porn)(?:-[a-z]+)*\.') THEN 'block' ELSE 'allow' END AS verdict FROM c"""
+WHEN {" OR ".join(f"regexp_matches(host || '#' || path, '{r.pattern}')" for r in PATTERN_RULES)} THEN 'block' ELSE 'allow' END AS verdict FROM c"""
 }
