@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -28,6 +29,18 @@ def get_spark(app: str = "plumbline", cores: str | int = "*", **conf: str) -> Sp
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors see, named in spark.checkpoint.dir. Only a local master, all in one process, may do without it."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        d = os.path.join(tempfile.gettempdir(), "checkpoints")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(d)
+    return d.rstrip("/")
+
+
 @contextmanager
 def scoped_conf(spark: SparkSession, conf: dict[str, str]):
     """Set Spark options for a block and put the old values back."""
