@@ -6,52 +6,61 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: White space that separates words in the row contracts: space, tab to carriage return.
 SPACE = " \t\n\v\f\r"
 _shipped: set[str] = set()
-_made: list[tuple[SparkSession, str]] = []
+#: The paths made in the block of `scratch` that this thread is in.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
 
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Lists the paths that are made inside, by this thread alone, for `remove`."""
+    paths: list[str] = []
+    before = _made.set(paths)
+    try:
+        yield paths
+    finally:
+        _made.reset(before)
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. A cluster names it in spark.checkpoint.dir; only where unset is a local one used."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not d:
-        d = os.path.join(tempfile.gettempdir(), "checkpoints")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(d)
-    return d.rstrip("/")
+
+def noted(path: str) -> str:
+    paths = _made.get()
+    if paths is not None:
+        paths.append(path)
+    return path
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
+    return noted(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
 
-def forget(since: int = 0, but: str = "\0") -> None:
-    """Delete what was written since the given number of paths, except under the path `but`."""
-    for spark, path in _made[since:]:
-        if path != but:
-            for p in (path, f"{path}-arrivals"):
-                p = spark._jvm.org.apache.hadoop.fs.Path(p)
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    _made[since:] = [x for x in _made[since:] if x[1] == but]
+def file_system(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def written() -> int:
-    """How many paths there are now, for `forget`."""
-    return len(_made)
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete what is at these paths."""
+    for path in paths:
+        fs, p = file_system(spark, path)
+        fs.delete(p, True)
 
 
 def at_exit(spark: SparkSession, path: str) -> None:
     """Let the file system delete what is at `path` when the application ends."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p)
 
 
 def table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -62,6 +71,15 @@ def table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scans_files(df: DataFrame) -> bool:
+    """Whether the rows come straight from files, filtered or not, so that each has a file and a row number there."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    outputs = df._jdf.queryExecution().analyzed().metadataOutput()
+    return plan.nodeName().startswith("LogicalRelation") and any(outputs.apply(i).name() == "_metadata" for i in range(outputs.size()))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, so that Python tasks can import it wherever the driver runs from."""
     key = spark.sparkContext.applicationId

@@ -9,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 from helpers import messy, messy_rows, nothing
 
 from plumbline.llm import exact_dedup as E
+from plumbline.llm.common import scans_files
 
 
 def want(rows):
@@ -50,6 +51,52 @@ def test_state_goes_on(spark):
     assert state.entries().count() == 3
 
 
+def test_state_compares_bytes_across_runs(spark, tmp_path):
+    """Texts that collide with one of an earlier run are told apart from it, whichever of them has the larger id, run after run."""
+    digest = lambda t: F.concat(F.lit("same"), F.substring(t, 1, 0))
+    state = lambda: E.KeyedState(spark, str(tmp_path / "state"), partitions=3)
+    runs = [[(9, "alpha"), (1, "alpha")], [(3, "beta"), (2, "alpha")], [(20, "beta"), (21, "alpha"), (22, "gamma")], [(5, "gamma"), (4, None), (6, "")]]
+    seen = {}
+    for rows in runs:
+        got = E.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), state=state(), digest=digest).collect()
+        for i, t in rows:
+            seen.setdefault(t or "", []).append(i)
+        assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in got} == {i: (max(seen[t or ""]), len(seen[t or ""]), i == max(seen[t or ""])) for i, t in rows}
+
+
+def test_only_hits_move(spark, tmp_path):
+    """The texts without a copy stay where they are."""
+    rows = [(i, f"{i} " * 50) for i in range(300)] + [(900, "7 " * 50)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    log = docs.select(E.sha256(F.col("text")).alias("digest"))
+    plan = E.collisions(docs.select(E.sha256(F.col("text")).alias("digest"), F.col("text").alias("t")), log, E.KeyedState(spark), "text")._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan or "broadcast" in plan.lower()
+    got = E.deduplicate(docs).collect()
+    assert sum(not r["kept"] for r in got) == 1 and {r["keep_id"] for r in got if r["group_size"] == 2} == {900}
+
+
+def test_many_hits_without_sending_them(spark, monkeypatch):
+    monkeypatch.setattr(E, "SENT", 0)
+    check(spark, E.sha256)
+    check(spark, lambda t: (F.crc32(t) % 3).cast("string"))
+
+
+def test_scans_files(spark, tmp_path):
+    df = messy(spark)
+    df.write.parquet(str(tmp_path / "m"))
+    f = spark.read.parquet(str(tmp_path / "m"))
+    assert scans_files(f) and scans_files(f.filter("doc_id > 1").select("doc_id", "text"))
+    assert not scans_files(df) and not scans_files(f.join(f.select("doc_id"), "doc_id")) and not scans_files(f.union(f)) and not scans_files(f.distinct())
+
+
+def test_private_names_do_not_clash(spark):
+    names = "__digest __at __key __n __stays __of __ref file row".split()
+    df = spark.createDataFrame([(1, "x", *names), (2, "x", *names)], ", ".join(["doc_id long", "text string", *(f"`{n}` string" for n in names)]))
+    got = E.deduplicate(df).collect()
+    assert all([r[n] for n in names] == names and r["group_size"] == 2 and r["keep_id"] == 2 for r in got)
+
+
 def test_empty(spark):
     assert E.deduplicate(nothing(spark)).count() == 0
 
