@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import exact_dedup, language_id, minhash, mixing, packing
-from plumbline.llm.common import forget, fresh_path, table, written
+from plumbline.llm.common import fresh_path, remove, same, scratch, table
 
 LEAST_SHARE = 0.4
 WEIGHTS = mixing.WEIGHTS
@@ -26,11 +26,6 @@ SEED = 23
 ORACLE_SQL = None
 
 
-def same(docs: DataFrame) -> list:
-    """The columns of docs, whatever their names hold."""
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs, F.when(~language_id.held_out(), F.col("lang")))
     judged = language_id.identify(docs, model)
@@ -58,11 +53,13 @@ STAGES = [("language_id", languages), ("exact_dedup", exact), ("near_dedup", nea
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    start = written()
+    before = []
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
-        docs = table(stage(spark, docs, sf_dir), name, path)
-        forget(start, but=path)  # once a stage is written, nothing needs what it or the one before it wrote
+        with scratch() as made:
+            docs = table(stage(spark, docs, sf_dir), name, path)
+        remove(spark, *made, *before)  # once a stage is written, nothing needs what it or the one before it wrote
+        before = [path]
     return docs
 
 
