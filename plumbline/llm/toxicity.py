@@ -3,19 +3,27 @@
 Writers hide words by leetspeak (1d10t), by spacing or separators (i d i o t, i.d.i.o.t) and by repetition (idiooot). A token
 that shows such signs becomes a lattice: every character may be a letter it stands for, may be itself, or may be deleted, each
 at a channel cost. Viterbi finds the likeliest letter string under a character trigram model, whose counts come from all
-texts of the corpus. Spaced runs start with and hold any letter, digit or sign that stands for a letter, at any length and with any
-gaps; links (`://`) and what has no letter are read as they are. Texts are scored after restoring: features are restored words and their beginnings (for inflected
-forms), chosen and weighted on labelled texts by their log-odds and a logistic regression over presence.
-
-The counts of the language model cover every document. The features are chosen on at most SAMPLE labelled documents, the
-first by a hash of their id. Null and empty texts have no features and get the base rate's score. Only the text enters a
-score. Several labels of one id count as toxic if one is. With no labels, or labels of one kind only, every score is that
-kind's rate (0 without labels). Rows with equal ids each get their score; other columns don't matter here.
+texts of the corpus, each text by itself. Tokens and spaced runs are decoded whole, at any length and with any gaps, in time
+linear in it: the state is two letters, and what all surviving paths agree on is put away as it comes. Spaced runs start with
+and hold any letter, digit or sign that stands for a letter; links (`://`) and what has no letter are read as they are.
+
+Texts are scored after restoring. Signs of toxicity are restored words and their beginnings (for inflected forms); the score is
+a noisy-or of the signs a text holds, each with the lower bound of the share of toxic texts among those that hold it. Which
+beginnings and words are signs is learned on labelled texts: a sign must be in LEAST toxic texts, SURE of those that hold it
+must be toxic by that bound, and so many of them must be unlikely by chance at the base rate. As a great many candidates are tried,
+the probabilities are held against their ranks (Benjamini and Hochberg), so that a share of ALPHA of the signs at most is expected to be chance. Near copies count as one text there, as they would make chance words of one text look sure.
+
+The counts of the language model cover every document. Signs are learned on at most SAMPLE labelled documents, the first by a
+hash of their id; their texts are restored in the tasks, and the driver gets their words. Null and empty texts have no signs and
+get the base rate's score. Only the text enters a score; texts of any length are read whole. Several labels of one id count as
+toxic if one is. With no labels, or labels of one kind only, every score is that kind's rate (0 without labels). An empty table
+gives an empty one. Rows with equal ids or texts each get their score; other columns pass under any name, but `score` is replaced.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -26,8 +34,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship
-from .tokens import SLICE
+from .common import crc_mod, quoted, ship
+from .tokens import slices
 
 #: Letters of the character model; 0 is the word boundary, and the last code is any other letter.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz" + "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
@@ -43,15 +51,16 @@ LEET = {
 SEPARATORS = " .-_*·"
 #: Channel costs in nats: a sign read as a letter, a sign or separator dropped, a repeated letter dropped, a space kept.
 COST_LEET, COST_DROP, COST_REPEAT, COST_SPACE = 0.5, 8.0, 0.7, 1.5
-#: Longest token that is decoded as it stands; longer ones have their repeats cut to two first.
-LONGEST = 32
-#: Signs decoded at once, and how many of them neighbouring windows of longer tokens and runs share.
-WINDOW, SHARED = 4096, 128
-#: Labelled documents the regression is fitted on, at most.
+#: Signs after which what all paths agree on is put away.
+STRETCH = 4096
+#: Longest token whose words are remembered.
+SHORT = 64
+#: Labelled documents that signs are learned from, at most.
 SAMPLE = 12_000
-FEATURES = 2_000
-#: Toxic documents a feature must be in, and the lower bound of the share of toxic ones among all it is in.
-LEAST, SURE = 6, 0.6
+#: Toxic documents a sign must be in, the lower bound of the share of toxic ones among all it is in, and the share of signs that may be chance.
+LEAST, SURE, ALPHA = 6, 0.6, 0.02
+#: Least values of hashes of 3-word shingles by which near copies are known, and how many two texts must share.
+SKETCH, ALIKE = 16, 4
 PREFIXES = (4, 5, 6, 7)
 MEMO = 300_000
 
@@ -60,7 +69,6 @@ GAP = re.compile(r"[ \t.\-_*·]+")
 WIDE = re.compile(r"[ \t]{2,}")
 SIGNS = "@$!|+€£¡"
 SIGN_RUN = re.compile(r"([@$!|+€£¡])\1+")
-REPEATS = re.compile(r"(.)\1\1+")
 EDGE = "\"'`.,;:?()[]{}<>«»“”‘’…–—#%&*/\\~^=-_"
 PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 RUN = re.compile(r"([^\W\d_])\1\1")
@@ -68,6 +76,10 @@ RUN = re.compile(r"([^\W\d_])\1\1")
 TAIL = re.compile(r"^[^\w]*([^\W\d_]+)[^\w]*$")
 
 
+#: Stands between texts that are counted together; no character.
+BETWEEN = "\U0010ffff"
+
+
 def code_table() -> np.ndarray:
     t = np.fromiter((OTHER if chr(i).isalpha() else 0 for i in range(0x110000)), np.int64, 0x110000)
     for c, i in CODE.items():
@@ -81,16 +93,19 @@ def count_trigrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, sums = code_table(), np.zeros(SYMBOLS**3, np.int64)
+        table[ord(BETWEEN)] = SYMBOLS - 1
         for b in batches:
-            for i in range(0, len(b), SLICE):
-                text = "\n" + "\n".join(t.lower() for t in b["text"].iloc[i : i + SLICE]) + "\n"
+            for part in slices(b["text"].tolist()):
+                # every text stands between two boundaries of its own, so counts don't hang on what comes next to it
+                text = "".join(f"{BETWEEN}\n{t.lower().replace(BETWEEN, ' ')}\n" for t in part) + BETWEEN + "\n"
                 a = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
                 a = a[np.r_[True, (a[1:] != 0) | (a[:-1] != 0)]]
+                a[a == SYMBOLS - 1] = 0
                 sums += np.bincount((a[:-2] * SYMBOLS + a[1:-1]) * SYMBOLS + a[2:], minlength=SYMBOLS**3)
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"code": at, "n": sums[at]})
 
-    return docs.select(F.col(text_col).alias("text")).filter("text is not null").mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(quoted(text_col)).alias("text")).filter("text is not null").mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 class CharModel:
@@ -115,7 +130,12 @@ class CharModel:
         self.start()
         lp = self.rows
         states: dict[tuple[int, int], tuple[float, tuple | None, str]] = {(0, 0): (0.0, None, "")}  # texts are linked from their ends
-        for ch in token:
+        done: list[str] = []
+        for at, ch in enumerate(token, 1):
+            if at % STRETCH == 0:
+                texts = {k: self.joined(out) for k, (_, out, _) in states.items()}
+                done.append(os.path.commonprefix(list(texts.values())))
+                states = {k: (s, self.linked(texts[k][len(done[-1]) :]), last) for k, (s, _, last) in states.items()}
             options: list[tuple[str, float]] = []
             if ch in CODE:
                 options.append((ch, 0.0))
@@ -141,7 +161,14 @@ class CharModel:
             states = new
         ends = [(s + lp[a][b][0], out) for (a, b), (s, out, _) in states.items()]
         best = max(s for s, _ in ends)
-        return max(self.joined(out) for s, out in ends if s == best)
+        return "".join(done) + max(self.joined(out) for s, out in ends if s == best)
+
+    @staticmethod
+    def linked(text: str) -> tuple | None:
+        out = None
+        for x in text:
+            out = (out, x)
+        return out
 
     @staticmethod
     def joined(out: tuple | None) -> str:
@@ -159,10 +186,8 @@ class Restorer:
         self.model, self.memo = model, {}
 
     def read(self, token: str) -> list[str]:
-        """The words of the likeliest reading; very long tokens are read in windows that overlap."""
-        if len(token) <= WINDOW:
-            return self.model.decode(token).split()
-        return [w for i in range(0, len(token) - SHARED, WINDOW - SHARED) for w in self.model.decode(token[i : i + WINDOW]).split()]
+        """The words of the likeliest reading."""
+        return self.model.decode(token).split()
 
     def readings(self, token: str) -> list[str]:
         """Words of the token, and of it with repeated signs as one."""
@@ -185,11 +210,10 @@ class Restorer:
         noisy = bool(RUN.search(core)) or any(c in LEET or c in SEPARATORS for c in core)
         if not noisy or not any(c.isalpha() for c in core) or "://" in core:
             return tuple(plain)
-        whole = core if len(core) <= LONGEST else REPEATS.sub(r"\1\1", core)
-        read = self.readings(whole)
-        if (inner := whole.strip(SIGNS)) != whole:
+        read = self.readings(core)
+        if (inner := core.strip(SIGNS)) != core:
             read += self.read(inner)
-        parts = GAP.split(whole)  # words that a separator joins
+        parts = GAP.split(core)  # words that a separator joins
         for p in {p for p in parts if len(p) > 2} if len(parts) > 1 else ():
             read += self.readings(p)
         return tuple(dict.fromkeys([*(p for p in plain if len(p) > 2), *read]))
@@ -214,7 +238,7 @@ class Restorer:
             w = memo.get(t)
             if w is None:
                 w = self.token_words(t)
-                if len(t) <= 4 * LONGEST:
+                if len(t) <= SHORT:
                     memo[t] = w
             out.update(w)
         for m in SPACED.finditer(low):
@@ -262,70 +286,115 @@ def wilson(a: int, b: int, z: float = 2.0) -> float:
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def learn(model: CharModel, texts: list[str], y: np.ndarray) -> Scorer:
-    """Choose features whose documents are toxic by the lower bound of their share, and their probabilities.
+def by_chance(k: int, n: int, rate: float) -> float:
+    """Probability of k or more of n at that rate."""
+    lg = math.lgamma
+    return sum(math.exp(lg(n + 1) - lg(i + 1) - lg(n - i + 1) + i * math.log(rate) + (n - i) * math.log1p(-rate)) for i in range(k, n + 1))
+
+
+def sketch(text: str) -> list[int]:
+    """Least hashes of the text's 3-word shingles, by which near copies are known."""
+    h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in text.split()], np.uint64)
+    if not len(h):
+        return []
+    k = min(3, len(h))
+    x = np.zeros(len(h) - k + 1, np.uint64)
+    for i in range(k):
+        x = x * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
+    out = []
+    for i in range(SKETCH):
+        y = (x ^ np.uint64(0xBF58476D1CE4E5B9 * (i + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0x94D049BB133111EB)
+        out.append(int((y ^ (y >> np.uint64(31))).min() >> np.uint64(1)))
+    return out
+
+
+def one_of_each(rows: list[tuple[float, list[int], list[str]]]) -> list[tuple[float, list[str]]]:
+    """(kind, words) of the rows, without those that are near copies of one before of the same kind."""
+    seen, out = {}, []
+    for number, (kind, marks, words) in enumerate(rows):
+        keys = [(kind, i, x) for i, x in enumerate(marks)]
+        met = Counter(seen[k] for k in keys if k in seen)
+        if met and max(met.values()) >= ALIKE:
+            continue
+        for k in keys:
+            seen.setdefault(k, number)
+        out.append((kind, words))
+    return out
+
 
-    Near copies would count a chance word many times: of documents with the same least word hashes only one is learned from.
-    """
-    if not len(y):
+def learn(model: CharModel, rows: list[tuple[float, list[int], list[str]]]) -> Scorer:
+    """The scorer from (1 or 0, sketch, restored words) of labelled texts."""
+    if not rows:
         return Scorer(model, {}, 0.0)
-    if y.min() == y.max():
-        return Scorer(model, {}, float(y[0]))
-    restore, vocabulary, docs, kinds, families = Restorer(model), {}, [], [], set()
-    for t, kind in zip(texts, y, strict=True):  # documents as numbers of their words
-        w = restore.words(t)
-        family = (kind, *sorted(zlib.crc32(x.encode()) for x in w)[:3])
-        if family not in families:
-            families.add(family)
-            docs.append(np.fromiter((vocabulary.setdefault(x, len(vocabulary)) for x in w), np.int32))
-            kinds.append(kind)
+    if len({k for k, _, _ in rows}) == 1:
+        return Scorer(model, {}, float(rows[0][0]))
+    vocabulary, docs, kinds = {}, [], []
+    for kind, w in one_of_each(rows):  # documents as numbers of their words
+        docs.append(np.fromiter((vocabulary.setdefault(x, len(vocabulary)) for x in w), np.int32))
+        kinds.append(kind)
     words = list(vocabulary)
-    del restore, vocabulary
-    # features in LEAST toxic documents: those that may be, by a table of hashed counts, are counted by name
-    likely, pos = np.zeros(1 << 22, np.uint16), Counter()
-    for exact in (False, True):
-        for d, kind in zip(docs, kinds, strict=True):
-            if kind:
-                f = features({words[i] for i in d})
-                if exact:
-                    pos.update(x for x in f if likely[zlib.crc32(x.encode()) & 0x3FFFFF] >= LEAST)
-                else:
-                    np.add.at(likely, np.unique(np.fromiter((zlib.crc32(x.encode()) & 0x3FFFFF for x in f), np.int64)), 1)
-    names = sorted(f for f, k in pos.items() if k >= LEAST)
-    number = {f: i for i, f in enumerate(names)}
-    of_word = {i: np.array(k, np.int32) for i, w in enumerate(words) if (k := [number[f] for f in features({w}) if f in number])}
-    docs_of: list[list[int]] = [[] for _ in names]
-    for row, d in enumerate(docs):
-        if k := [of_word[i] for i in d.tolist() if i in of_word]:
-            for f in np.unique(np.concatenate(k)).tolist():
-                docs_of[f].append(row)
-    share = {f: wilson(pos[f], len(docs_of[i]) - pos[f]) for f, i in number.items()}
-    good = sorted((f for f in names if share[f] >= SURE), key=lambda f: (f[0] == "=", -len(f), f))
-    chosen, covered = {}, set()
-    for f in good:  # longest beginnings first; a shorter one must be right beyond the words that the longer ones of it stand for
+    del vocabulary
+    rate = sum(kinds) / len(kinds)
+    # signs of every word, as numbers; how many texts each is in
+    signs: dict[str, int] = {}
+    of_word = [np.array([signs.setdefault(f, len(signs)) for f in features({w})], np.int32) for w in words]
+    every, toxic = np.zeros(len(signs), np.int32), np.zeros(len(signs), np.int32)
+    in_doc = []
+    for d, kind in zip(docs, kinds, strict=True):
+        held = np.unique(np.concatenate([of_word[i] for i in d.tolist()])) if len(d) else np.zeros(0, np.int32)
+        every[held] += 1
+        toxic[held] += int(kind)
+        in_doc.append(held)
+    names = list(signs)
+    bound = {i: wilson(int(toxic[i]), int(every[i] - toxic[i])) for i in np.flatnonzero(toxic >= LEAST).tolist()}
+    tried = int((every >= LEAST).sum())
+    odds = sorted((by_chance(int(toxic[i]), int(every[i]), rate), names[i], i) for i, b in bound.items() if b >= SURE)
+    passed = max((k for k, (p, _, _) in enumerate(odds, 1) if p * tried <= ALPHA * k), default=0)
+    good = {i: f for _, f, i in odds[:passed]}
+    docs_of: dict[int, list[int]] = {i: [] for i in good}
+    for row, held in enumerate(in_doc):
+        for i in held[np.isin(held, list(good))].tolist():
+            docs_of[i].append(row)
+    chosen, places, covered = {}, {}, set()
+    for i in sorted(good, key=lambda i: (good[i][0] == "=", -len(good[i]), good[i])):  # longest beginnings first; a shorter one must be right beyond the words that the longer ones of it stand for
+        f = good[i]
         longer = [x for x in chosen if x.startswith(f) or f[0] == "=" and f[1:].startswith(x)]
-        rows = set(docs_of[number[f]])
-        alone = rows.difference(*(docs_of[number[x]] for x in longer))
-        if longer and (alone and (sum(kinds[i] for i in alone) + 0.5) / (len(alone) + 1) < 0.75 or not alone and (f[0] == "=" or len(longer) < 3)):
+        held = set(docs_of[i])
+        alone = held.difference(*(docs_of[places[x]] for x in longer))
+        if longer and (alone and (sum(kinds[r] for r in alone) + 0.5) / (len(alone) + 1) < 0.75 or not alone and (f[0] == "=" or len(longer) < 3)):
             continue
-        covered |= rows
-        chosen[f] = -math.log(1 - share[f])
-    if len(chosen) > FEATURES:
-        chosen = dict(sorted(chosen.items(), key=lambda x: (-pos[x[0]], x[0]))[:FEATURES])
+        covered |= held
+        chosen[f], places[f] = -math.log(1 - bound[i]), i
     rest = [k for i, k in enumerate(kinds) if i not in covered]
     return Scorer(model, chosen, min(0.45, (sum(rest) + 0.5) / (len(rest) + 1)))
 
 
+def restored(docs: DataFrame, model: CharModel) -> DataFrame:
+    """(y, sketch, words) of rows (text, y)."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        restore = Restorer(sent.value)
+        for b in batches:
+            for lo in range(0, len(b), 256):
+                part = b.iloc[lo : lo + 256]
+                yield pd.DataFrame({"y": part["y"], "marks": [sketch(t) for t in part["text"]], "words": [sorted(restore.words(t)) for t in part["text"]]})
+
+    return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("double").alias("y")).mapInPandas(run, "y double, marks array<long>, words array<string>")
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "toxic") -> Scorer:
     """Character counts over all `docs`, then the scorer from at most `sample` of the labelled ones."""
     counts = np.zeros(SYMBOLS**3)
     for r in count_trigrams(docs).collect():  # at most SYMBOLS cubed
         counts[r["code"]] = r["n"]
+    model = CharModel(counts)
     chosen = labels.filter(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = docs.select(id_col, "text").join(chosen.hint("broadcast"), id_col).select(F.coalesce("text", F.lit("")).alias("text"), "y")
-    got = rows.limit(2 * sample).toPandas()
-    got = got.sort_values(["text", "y"], kind="stable")
-    return learn(CharModel(counts), list(got["text"]), got["y"].to_numpy(float))
+    rows = docs.select(id_col, "text").join(chosen.hint("broadcast"), id_col).select("text", "y").limit(2 * sample)
+    # one text at a time, so that a word's letters never come from what a worker read before; in an order of their own
+    got = sorted((r["y"], list(r["marks"]), list(r["words"])) for r in restored(rows, model).toLocalIterator())
+    return learn(model, got)
 
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -340,7 +409,7 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", name: str = "
         for b in batches:
             yield pd.Series([s.score("" if t is None else t) for t in b])
 
-    return docs.drop(name).withColumn(name, run(F.col(text_col)))
+    return docs.drop(name).withColumn(name, run(F.col(quoted(text_col))))
 
 
 def held_out() -> Column:

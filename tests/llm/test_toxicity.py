@@ -112,3 +112,72 @@ def test_noisy_or():
     s.start()
     assert s.score("a fine day") == pytest.approx(0.1) and s.score("bad day") == pytest.approx(1 - 0.9 * np.exp(-1)) and s.score("bad worsening bad") == pytest.approx(1 - 0.9 * np.exp(-3))
     assert T.wilson(10, 0) > T.wilson(3, 0) > T.wilson(3, 3)
+
+
+def plain_counts(texts):
+    """Letter trigrams by a loop over characters, every text by itself."""
+    n = {}
+    for t in texts:
+        if t is None:
+            continue
+        codes = [0]
+        for ch in "".join(t.lower()):
+            c = T.CODE.get(ch, T.OTHER if ch.isalpha() else 0)
+            if c or codes[-1]:
+                codes.append(c)
+        if codes[-1]:
+            codes.append(0)
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            k = (a * T.SYMBOLS + b) * T.SYMBOLS + c
+            n[k] = n.get(k, 0) + 1
+    return n
+
+
+def test_counts_by_brute_force_at_any_partitioning(spark):
+    docs = messy(spark).select("text")
+    got = [{r["code"]: r["n"] for r in T.count_trigrams(docs.repartition(k)).collect()} for k in (1, 3, 16)]
+    assert got[0] == got[1] == got[2]
+    want = plain_counts(r["text"] for r in docs.collect())
+    # beyond the letters, only what lies between two texts, which is the same for each of them
+    assert {k: v for k, v in got[0].items() if k // T.SYMBOLS % T.SYMBOLS} == {k: v for k, v in want.items() if k // T.SYMBOLS % T.SYMBOLS}
+
+
+def test_scores_are_those_of_one_process(spark, scorer):
+    texts = [r["text"] for r in spark.read.parquet(f"{D}/documents.parquet").filter("doc_id % 97 = 0").select("text").collect()]
+    got = T.score(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), scorer).collect()
+    want = {}
+    for t in texts:  # no memo, one text at a time
+        words = T.Restorer(scorer.model).words(t or "")
+        signs = sorted(f for f in T.features(words) if f in scorer.weights)
+        want[t] = 1 - (1 - scorer.base) * np.exp(-sum(scorer.weights[f] for f in signs))
+    assert all(r["score"] == pytest.approx(want[r["text"]], abs=1e-12) for r in got)
+
+
+def test_long_tokens_are_decoded_whole(scorer, monkeypatch):
+    """Putting away what all paths agree on changes nothing, wherever the stretches end."""
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        token = "".join(r.choice(list("abdeiot1034$!.-|")) for _ in range(200))
+        monkeypatch.setattr(T, "STRETCH", 10**9)
+        whole = scorer.model.decode(token)
+        for stretch in (1, 3, 16):
+            monkeypatch.setattr(T, "STRETCH", stretch)
+            assert scorer.model.decode(token) == whole
+    assert "idiot" in scorer.restore.words("1" + "d" * 9000 + "10t") and "idiot" in scorer.restore.words("i " * 60 + "d i o t")
+
+
+def test_signs_by_chance_are_few():
+    """Labels that have nothing to do with the texts give no signs, or next to none."""
+    r = np.random.default_rng(5)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x" for i in range(3000)]
+    rows = [(float(r.random() < 0.12), [], list(r.choice(words, 40, False))) for _ in range(1500)]
+    assert len(T.learn(T.CharModel(np.zeros(T.SYMBOLS**3)), rows).weights) <= 1
+    told = [(k, m, [*w, "awful"] if k else w) for k, m, w in rows]
+    assert "awful" in T.learn(T.CharModel(np.zeros(T.SYMBOLS**3)), told).weights
+    assert T.by_chance(0, 5, 0.3) == pytest.approx(1) and T.by_chance(5, 5, 0.3) == pytest.approx(0.3**5) and T.by_chance(1, 2, 0.5) == pytest.approx(0.75)
+
+
+def test_near_copies_teach_once():
+    text = " ".join(f"word{i}" for i in range(200))
+    rows = [(1.0, T.sketch(text + f" end{i}"), ["a"]) for i in range(20)] + [(1.0, T.sketch("another text of its own here"), ["b"]), (0.0, T.sketch(text), ["c"]), (0.0, T.sketch(""), [])]
+    assert [w for _, w in T.one_of_each(rows)] == [["a"], ["b"], ["c"], []]
