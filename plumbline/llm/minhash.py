@@ -1,48 +1,86 @@
 """Near-duplicates by b-bit MinHash, links confirmed on full sets.
 
-A text's words (A-Z in lower case, split at space and tab to carriage return) give its set: distinct 3-word shingles as 64-bit
-hashes, or the whole sequence as one where there are fewer words. Texts link at Jaccard similarity 0.85 or more.
+A text's words (A-Z in lower case, split at space and tab to carriage return) give its set: distinct shingles of `size` words as
+64-bit hashes, or the whole sequence as one where there are fewer words. Texts link at a Jaccard similarity of `percent` or more.
+The query's contract says three words and 85; elsewhere five words and 80 are the default.
 
-1. One pass over the texts: set size, set digest, minima under BANDS * ROWS hash functions; a band key of each ROWS minima, and
-   the low BITS bits of the first WORDS * 64 minima packed in bit planes.
+1. Rows are numbered and written; one pass over the texts gives set size, set digest, minima under MINIMA hash functions; a band
+   key of each few minima, and the low BITS bits of the first WORDS * 64 minima packed in bit planes.
 2. Rows with one set digest are one class; only its representative goes on. Copies are so never paired.
-3. Representatives with a band key in common are candidates (a link is missed with probability (1 - 0.85^ROWS)^BANDS,
-   2e-7). In each bucket all are compared with one hub only, the member with the fullest buckets; XOR and bit counts of
-   the planes give the number of equal low bits, and from it, less the matches by chance, the estimated similarity. What
-   is clearly under the threshold (by over five standard errors) is dropped, the rest confirmed on full sets.
-4. Buckets whose members are then in one component are done. In the others, only pairs of different components are left:
-   small buckets are joined on the key under the same estimate; large ones are cut in blocks, and every two blocks compared on
-   full sets as a product of incidence matrices, from which only links between different components come out.
+3. Representatives with a band key in common are candidates (`Rule` chooses bands so that a link is missed with a probability
+   under MISSED). In each bucket all are compared with one hub only, the member with the fullest buckets: XOR and bit counts of
+   the planes give the number of equal low bits, and from it, less the matches by chance, the estimated similarity. Pairs
+   whose estimate is under the threshold by over five standard errors are dropped, the rest confirmed on full sets.
+4. Buckets whose members are then in one component are done. In the others, only pairs of different components are left,
+   compared by the same estimate: small buckets by a join on the key, large ones cut in blocks, any two blocks in a task. Only
+   signatures go into buckets and blocks; texts are fetched for the pairs that are left, to be confirmed.
 5. Components over all confirmed links.
 
-Empty and null texts have an empty set, link with nothing and are a component each. Rows that repeat an id count each. The
-component is the least id reachable. Null ids are no one's component. Other columns pass through `deduplicate`.
+No key gathers rows without bound: a hub's bucket is salted by CHUNK members, a block has BLOCK, and the partners of one text are
+confirmed in SPREAD parts, each read row by row. What is quadratic is a bucket of very many texts that all lie just under the
+threshold to each other: their signatures are compared pair by pair, and pairs within the error of the estimate are confirmed.
+
+Empty and null texts have an empty set, link with nothing and are a component each. Texts of any length are read whole. Rows that
+repeat an id or a text count each. The component is the least id reachable; null ids are passed over, and a component of null ids
+only has a null one. An empty table gives an empty one. `deduplicate` keeps one row of every component, that of the least id (a
+null id last), and passes all columns under any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import quoted, ship, small, table, unused
 from .components import components
-from .tokens import SLICE
+from .tokens import cuts
 
-BANDS, ROWS = 26, 5
+#: Hash functions, and the probability that no band of a linked pair agrees.
+MINIMA, MISSED = 130, 1e-6
 BITS, WORDS = 4, 2
-#: Per cent of the union that the intersection must reach.
-PERCENT = 85
-#: Least number of equal low-bit groups of WORDS * 64 that a pair at the threshold has, less five standard errors.
-LEAST_MATCHES = 89
+#: Standard errors of the estimate under the threshold from which a pair is dropped.
+ERRORS = 5
 #: Members from which a bucket is compared in blocks, and the members of a block.
 LARGE, BLOCK = 64, 256
+#: Members compared with a copy of their hub's signature in one group, and parts in which a text's partners are confirmed.
+CHUNK, SPREAD = 4096, 32
+#: Numbers of texts that are sent to every task, at most; beyond it is joined by number.
+SENT = 500_000
 #: Words whose hashes a worker remembers.
 MEMO = 1_000_000
 
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle, and the per cent of the union that the intersection of linked sets must reach."""
+
+    size: int = 5
+    percent: int = 80
+
+    @property
+    def rows(self) -> int:
+        """Minima of a band: as many as leave a linked pair a probability of MISSED at most to agree in no band."""
+        t = self.percent / 100
+        return next((r for r in range(12, 1, -1) if (1 - t**r) ** (MINIMA // r) <= MISSED), 1)
+
+    @property
+    def bands(self) -> int:
+        return MINIMA // self.rows
+
+    @property
+    def least(self) -> float:
+        """The estimate of a pair at the threshold, less ERRORS standard errors."""
+        c, t = 2.0**-BITS, self.percent / 100
+        p = c + (1 - c) * t
+        return t - ERRORS * (p * (1 - p) / (WORDS * 64)) ** 0.5 / (1 - c)
+
+
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,7 +92,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    def __init__(self, size: int = 3):
+    def __init__(self, size: int):
         import xxhash
 
         self.size, self.hash, self.memo = size, xxhash.xxh64_intdigest, {}
@@ -95,38 +133,43 @@ def minima(x: np.ndarray, xor: np.ndarray, mul: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(m: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, packed planes) of a matrix of minima: low bit p of minima 64w .. 64w+63 is word p * WORDS + w."""
-    n = len(m)
-    key = np.full((n, BANDS), np.uint64(0), np.uint64) + np.arange(BANDS, dtype=np.uint64) * _M
-    rows = m[:, : BANDS * ROWS].reshape(n, BANDS, ROWS).astype(np.uint64)
-    for r in range(ROWS):
+    n, bands, per = len(m), rule.bands, rule.rows
+    key = np.full((n, bands), np.uint64(0), np.uint64) + np.arange(bands, dtype=np.uint64) * _M
+    rows = m[:, : bands * per].reshape(n, bands, per).astype(np.uint64)
+    for r in range(per):
         key = mix(key * _M + rows[:, :, r])
     low = m[:, : WORDS * 64]
     planes = [np.packbits((low >> np.uint32(p)) & np.uint32(1), axis=1).view("<u8") for p in range(BITS)]
     return key.view(np.int64), np.concatenate(planes, 1).view(np.int64)
 
 
-def sketches(docs: DataFrame, id_col: str) -> DataFrame:
-    """id, n (set size), digest of the set ('' if empty), planes and bands."""
-    ship(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
+def numbered(docs: DataFrame, columns: list, number: str = "v") -> DataFrame:
+    """The columns with a number for every row, written, so that a number stays with its row."""
+    return table(docs.select(F.monotonically_increasing_id().alias(number), *columns), "numbered")
+
+
+def sketches(rows: DataFrame, rule: Rule) -> DataFrame:
+    """For rows (v, id, text): v, id, n (set size), digest of the set ('' if empty), planes and bands."""
+    ship(rows.sparkSession)
+    kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        shingle, (xor, mul) = Shingler(), functions_of(max(BANDS * ROWS, WORDS * 64))
+        shingle, (xor, mul) = Shingler(rule.size), functions_of(MINIMA)
         for b in batches:
-            for i in range(0, len(b), SLICE):
-                part = b.iloc[i : i + SLICE]
+            for lo, hi in cuts(0 if t is None else len(t) for t in b["text"]):
+                part = b.iloc[lo:hi]
                 sets = [shingle(t) for t in part["text"]]
-                keys, planes = signatures(np.array([minima(s, xor, mul) for s in sets]))
+                keys, planes = signatures(np.array([minima(s, xor, mul) for s in sets]), rule)
                 yield pd.DataFrame(
-                    {"id": part["id"], "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else "" for s in sets], "planes": list(planes), "bands": list(keys)}
+                    {"v": part["v"], "id": part["id"], "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else "" for s in sets], "planes": list(planes), "bands": list(keys)}
                 )
 
     # ids go as text: pandas would make numbers with a null among them inexact
-    s = docs.select(F.col(id_col).cast("string").alias("id"), "text").mapInPandas(run, "id string, n long, digest string, planes array<long>, bands array<long>")
+    s = rows.select("v", F.col("id").cast("string").alias("id"), "text").mapInPandas(run, "v long, id string, n long, digest string, planes array<long>, bands array<long>")
     return s.withColumn("id", F.col("id").cast(kind))
 
 
@@ -148,153 +191,136 @@ def similarity(p: Column, q: Column) -> Column:
     return (matches(p, q) / (WORDS * 64) - c) / (1 - c)
 
 
-def sizes_fit(a: Column, b: Column) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def may_link(n: tuple[str, str], planes: tuple[str, str], rule: Rule) -> Column:
+    """Whether two sets, by their sizes and the estimate, may reach the threshold."""
+    a, b = map(F.col, n)
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * rule.percent) & (similarity(*map(F.col, planes)) >= rule.least)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets reach the threshold."""
     both = len(np.intersect1d(a, b, True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both) and both > 0
+    return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, da, b, db: ids and set digests) that link by their full sets."""
+def confirm(pairs: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b: numbers of rows with a text) that link by their full sets.
+
+    A text is fetched once for each of its pairs as b, and as a once for each of at most SPREAD parts of its partners.
+    """
     ship(pairs.sparkSession)
-    kind = dict(pairs.dtypes)["a"]
-    ta, tb = (texts.select(F.col("id").alias(f"i{s}"), F.col("text").alias(f"t{s}")) for s in "ab")
-    rows = pairs.join(ta, F.col("a") == F.col("ia")).join(tb, F.col("b") == F.col("ib")).select("a", "da", "ta", "b", "db", "tb")
+    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).alias("part"))
+    wanted = pairs.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("w")).distinct().unionByName(pairs.select("a", "part", "b", F.col("b").alias("w")))
+    wanted = table(wanted, "pairs")
+    texts = rows.select(F.col("v").alias("tv"), "text")
+    few = table(wanted.select(F.col("w").alias("u")).distinct(), "pair-texts")
+    texts = texts.join(small(few, SENT), F.col("tv") == F.col("u"), "left_semi")
+    sent = wanted.join(texts, F.col("w") == F.col("tv")).select("a", "part", "b", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        shingle, seen = Shingler(), {}
-
-        def of(digest: str, text: str) -> np.ndarray | None:
-            """The set, if the text is the one meant: an id may stand for several texts."""
-            if (s := seen.get(digest)) is None:
-                if len(seen) > 2000:
-                    seen.clear()
-                s = shingle(text)
-                if xxhash.xxh3_128_hexdigest(s.tobytes()) != digest:
-                    return None
-                seen[digest] = s
-            return s
-
+        shingle, at, own = Shingler(rule.size), None, None
         for g in batches:
-            ok = []
-            for da, t, db, u in zip(g["da"], g["ta"], g["db"], g["tb"], strict=True):
-                x, y = of(da, t), of(db, u)
-                ok.append(x is not None and y is not None and linked(x, y))
-            yield g.loc[ok, ["a", "b"]]
+            out = []
+            for a, part, b, text in zip(g["a"].tolist(), g["part"].tolist(), g["b"].tolist(), g["text"], strict=True):
+                x = shingle(text)
+                if b < 0:  # the text that those after it are compared with
+                    at, own = (a, part), x
+                elif at == (a, part) and linked(own, x, rule.percent):
+                    out.append((a, b))
+            yield pd.DataFrame(out, columns=["a", "b"])
 
-    return rows.mapInPandas(run, f"a {kind}, b {kind}").distinct()
+    dealt = sent.withColumn("b", F.coalesce("b", F.lit(-1))).repartition("a", "part").sortWithinPartitions("a", "part", "b")
+    return dealt.mapInPandas(run, "a long, b long")
 
 
-def block_links(rows: DataFrame) -> DataFrame:
-    """Links between members of different labels, for rows (key, i, j, k, id, label, digest, text): k, the member's block, is i or j."""
+def block_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of different labels that may link, for rows (key, i, j, k, v, label, n, planes): k, the member's block, is i or j."""
     ship(rows.sparkSession)
-    kind = dict(rows.dtypes)["id"]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        import xxhash
-
-        shingle = Shingler()
-        g = g.reset_index(drop=True)
-        sets = [shingle(t) for t in g["text"]]
-        ok = [xxhash.xxh3_128_hexdigest(s.tobytes()) == d for s, d in zip(sets, g["digest"], strict=True)]
-        g, sets = g[ok].reset_index(drop=True), [s for s, o in zip(sets, ok, strict=True) if o]
-        if len(sets) < 2:
-            return pd.DataFrame({"a": g["id"][:0], "b": g["id"][:0]})
-        n = np.array([len(s) for s in sets])
-        flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-        _, inv, cnt = np.unique(flat, return_inverse=True, return_counts=True)
-        common = np.flatnonzero(cnt > 1)  # what only one set has is in no intersection
-        at = np.full(len(cnt), -1)
-        at[common] = np.arange(len(common))
-        col = at[inv]
-        left = np.flatnonzero((g["k"] == g["i"]).to_numpy())
-        right = np.flatnonzero((g["k"] == g["j"]).to_numpy())
-        both = np.zeros((len(left), len(right)), np.float32)
-        row_l, row_r = np.full(len(sets), -1), np.full(len(sets), -1)
-        row_l[left], row_r[right] = np.arange(len(left)), np.arange(len(right))
-        for lo in range(0, len(common), 8192):  # the product in slices of the vocabulary
-            part = (col >= lo) & (col < lo + 8192)
-            w = min(8192, len(common) - lo)
-            x, y = np.zeros((len(left), w), np.float32), np.zeros((len(right), w), np.float32)
-            pl, pr = part & (row_l[who] >= 0), part & (row_r[who] >= 0)
-            x[row_l[who[pl]], col[pl] - lo] = 1
-            y[row_r[who[pr]], col[pr] - lo] = 1
-            both += x @ y.T
-        union = n[left][:, None] + n[right][None] - both
-        label = g["label"].to_numpy()
-        hit = (100 * both >= PERCENT * union) & (label[left][:, None] != label[right][None])
-        a, b = np.nonzero(hit)
-        ids = g["id"].to_numpy()
-        out = pd.DataFrame({"a": ids[left[a]], "b": ids[right[b]], "x": label[left[a]], "y": label[right[b]]})
-        return out.drop_duplicates(["x", "y"])[["a", "b"]]  # one link joins two components
-
-    return rows.groupBy("key", "i", "j").applyInPandas(run, f"a {kind}, b {kind}")
-
-
-def cluster(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n, digest, component_id) for every row of `docs`."""
-    s = table(sketches(docs, id_col), "sketches")
-    full = s.filter("n > 0")
-    # classes of equal sets
-    reps = full.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("planes").alias("planes"), F.first("bands").alias("bands"))
-    reps = table(reps.filter("id is not null"), "classes")
-    sig = reps.select("id", "digest", "n", "planes")
-    exploded = reps.select("id", F.explode("bands").alias("key"))
-    counts = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members = table(exploded.join(counts, "key"), "bucket-members")
-    texts = docs.select(F.col(id_col).alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi")
-    texts = table(texts, "candidate-texts")
-    # hubs
-    full_by = members.groupBy(F.col("id").alias("hid")).agg(F.sum("m").alias("weight"))
-    weighed = members.join(full_by, F.col("id") == F.col("hid"))
-    hubs = weighed.groupBy(F.col("key").alias("hkey")).agg(F.max(F.struct("weight", "id")).alias("hub"))
-    star = members.join(hubs, F.col("key") == F.col("hkey")).filter("id <> hub.id").select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def with_sig(pairs: DataFrame) -> DataFrame:
-        x, y = (sig.select(F.col("id").alias(f"s{c}"), F.col("digest").alias(f"d{c}"), F.col("n").alias(f"n{c}"), F.col("planes").alias(f"p{c}")) for c in "ab")
-        return pairs.join(x, F.col("a") == F.col("sa")).join(y, F.col("b") == F.col("sb")).filter(sizes_fit(F.col("na"), F.col("nb")) & (matches(F.col("pa"), F.col("pb")) >= LEAST_MATCHES))
-
-    links = table(confirm(with_sig(star).select("a", "da", "b", "db"), texts), "links-star")
-    label = components(links).select(F.col("v").alias("lid"), F.col("component").alias("label"))
-    # buckets with more than one component left
-    named = members.join(label, F.col("id") == F.col("lid"), "left").select("key", "id", "m", F.coalesce("label", "id").alias("label"))
+        left, right = g[g["k"] == g["i"]], g[g["k"] == g["j"]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": g["v"][:0], "b": g["v"][:0]})
+        n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None]
+        ok = (np.minimum(n, m) * 100 >= np.maximum(n, m) * rule.percent) & (left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None])
+        p, q = (np.array(x["planes"].tolist(), np.int64).view(np.uint64) for x in (left, right))
+        same = np.full(ok.shape, WORDS * 64)
+        for w in range(WORDS):
+            diff = np.zeros(ok.shape, np.uint64)
+            for b in range(BITS):
+                diff |= p[:, None, b * WORDS + w] ^ q[None, :, b * WORDS + w]
+            same -= np.bitwise_count(diff)
+        c = 2.0**-BITS
+        a, b = np.nonzero(ok & ((same / (WORDS * 64) - c) / (1 - c) >= rule.least))
+        return pd.DataFrame({"a": left["v"].to_numpy()[a], "b": right["v"].to_numpy()[b]})
+
+    return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def unlinked_pairs(members: DataFrame, label: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b) of buckets with more than one component left: pairs of different components that may link."""
+    named = members.join(label, F.col("v") == F.col("lv"), "left").select("key", "m", "v", "n", "planes", F.coalesce("label", "v").alias("label"))
     named = table(named, "bucket-labels")
     mixed = named.groupBy(F.col("key").alias("mkey")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("mkey")
-    rest = table(named.join(mixed, F.col("key") == F.col("mkey"), "left_semi").join(sig.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid")).drop("sid"), "bucket-rest")
-    small = rest.filter(F.col("m") <= LARGE)
-    l, r = (small.select(*[F.col(c).alias(f"{c}{x}") for c in small.columns]) for x in "ab")
-    near = l.join(
-        r, (F.col("keya") == F.col("keyb")) & (F.col("ida") < F.col("idb")) & (F.col("labela") != F.col("labelb")) & sizes_fit(F.col("na"), F.col("nb"))
-        & (matches(F.col("planesa"), F.col("planesb")) >= LEAST_MATCHES),
-    ).select(F.col("ida").alias("a"), F.col("digesta").alias("da"), F.col("idb").alias("b"), F.col("digestb").alias("db")).distinct()
-    more = confirm(near, texts)
+    rest = table(named.join(mixed, F.col("key") == F.col("mkey"), "left_semi"), "bucket-rest")
+    few = rest.filter(F.col("m") <= LARGE)
+    l, r = (few.select(*[F.col(c).alias(f"{c}{x}") for c in few.columns]) for x in "ab")
+    near = l.join(r, (F.col("keya") == F.col("keyb")) & (F.col("va") < F.col("vb")) & (F.col("labela") != F.col("labelb")) & may_link(("na", "nb"), ("planesa", "planesb"), rule))
     # large buckets by blocks: every member goes to the block pairs of its block
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    large = rest.filter(F.col("m") > LARGE).withColumn("k", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    large = large.select("key", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "id", "label", "digest")
-    large = large.join(texts.withColumnRenamed("id", "tid"), F.col("id") == F.col("tid")).drop("tid")
-    links = table(links.unionByName(more).unionByName(block_links(large)), "links")
-    final = components(links).select(F.col("v").alias("lid"), "component")
-    named = reps.select("id", F.col("digest").alias("cd")).join(final, F.col("id") == F.col("lid"), "left").select("cd", F.coalesce("component", "id").alias("component"))
-    return s.select("id", "n", "digest").join(named, F.col("digest") == F.col("cd"), "left").select("id", "n", "digest", F.coalesce("component", "id").alias("component_id"))
+    large = rest.filter(F.col("m") > LARGE).withColumn("k", F.pmod(F.xxhash64("v"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    large = large.select("key", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "v", "label", "n", "planes")
+    both = near.select(F.col("va").alias("a"), F.col("vb").alias("b")).unionByName(block_pairs(large, rule))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs`, all columns, that stay: of each component the one with its least id (all rows of that id)."""
-    keep = cluster(docs, id_col).filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("__keep")).distinct()
-    return docs.join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
+def cluster_numbered(rows: DataFrame, rule: Rule) -> DataFrame:
+    """(v, id, n, digest, component_id, best) for rows (v, id, text): best is the number of the row that stands for the component."""
+    s = table(sketches(rows, rule), "sketches")
+    # classes of equal sets
+    best = F.struct(F.col("id").isNull().alias("none"), "id", "v")
+    reps = s.filter("n > 0").groupBy("digest").agg(F.min("v").alias("v"), F.min(best).alias("best"), F.first("n").alias("n"), F.first("planes").alias("planes"), F.first("bands").alias("bands"))
+    reps = table(reps, "classes")
+    exploded = reps.select("v", F.explode("bands").alias("key"))
+    counts = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    members = table(exploded.join(counts, "key"), "bucket-keys")
+    weighed = members.groupBy(F.col("v").alias("wv")).agg(F.sum("m").alias("weight")).join(reps.select("v", "n", "planes"), F.col("wv") == F.col("v")).drop("v")
+    members = table(members.join(weighed, F.col("v") == F.col("wv")).drop("wv"), "bucket-members")
+    # every member against its bucket's hub; the hub's signature goes to each salt of its bucket
+    hubs = members.groupBy(F.col("key").alias("hkey")).agg(F.max(F.struct("weight", "v", "n", "planes")).alias("hub"), F.max("m").alias("hm"))
+    hubs = hubs.select("hkey", F.col("hub.v").alias("a"), F.col("hub.n").alias("hn"), F.col("hub.planes").alias("hplanes"), F.explode(F.sequence(F.lit(0), F.floor((F.col("hm") - 1) / CHUNK).cast("int"))).alias("hsalt"))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("v"), F.floor((F.col("m") - 1) / CHUNK) + 1).cast("int"))
+    star = salted.join(hubs, (F.col("key") == F.col("hkey")) & (F.col("salt") == F.col("hsalt"))).filter((F.col("v") != F.col("a")) & may_link(("n", "hn"), ("planes", "hplanes"), rule))
+    links = table(confirm(star.select("a", F.col("v").alias("b")).distinct(), rows, rule), "links-star")
+    label = components(links).select(F.col("v").alias("lv"), F.col("component").alias("label"))
+    more = confirm(unlinked_pairs(members, label, rule), rows, rule)
+    links = table(links.unionByName(more), "links")
+    final = components(links).select(F.col("v").alias("lv"), F.col("component").alias("root"))
+    named = reps.select("digest", "v", "best").join(final, F.col("v") == F.col("lv"), "left").select(F.col("digest").alias("cd"), F.coalesce("root", "v").alias("root"), "best")
+    of = named.groupBy(F.col("root").alias("r")).agg(F.min("best").alias("first"))
+    named = named.join(of, F.col("root") == F.col("r")).select("cd", "first")
+    return s.select("v", "id", "n", "digest").join(named, F.col("digest") == F.col("cd"), "left").select(
+        "v", "id", "n", "digest", F.when(F.col("cd").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"), F.coalesce("first.v", "v").alias("best")
+    )
+
+
+def cluster(docs: DataFrame, id_col: str = "doc_id", rule: Rule = Rule(), text_col: str = "text") -> DataFrame:
+    """(v, id, n, digest, component_id, best) for every row of `docs`: v numbers the rows."""
+    return cluster_numbered(numbered(docs, [F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")]), rule)
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", rule: Rule = Rule(), text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that stay: one of each component, that with the least id."""
+    v, w = unused(docs, "__v", "__w")
+    rows = numbered(docs, [F.col(quoted(c)) for c in docs.columns], v)
+    found = cluster_numbered(rows.select(F.col(v).alias("v"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")), rule)
+    gone = table(found.filter(F.col("v") != F.col("best")).select(F.col("v").alias(w)), "near-copies")
+    return rows.join(small(gone, SENT), F.col(v) == F.col(w), "left_anti").drop(v)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return cluster(docs).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return cluster(docs, rule=Rule(3, 85)).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
 QUERIES = {"op3_minhash": op3_minhash}
