@@ -149,3 +149,34 @@ class PieceBpe:
 def piece_bpe(name: str = "piece_bpe_32k.model", folder: str | None = None) -> PieceBpe:
     """One for each worker process."""
     return PieceBpe(name, folder)
+
+
+class ByteBpe:
+    """`tiktoken` ranks of a byte-level vocabulary (byte_bpe_multi_50k.tiktoken): how many tokens a word is after a space."""
+
+    def __init__(self, name: str = "byte_bpe_multi_50k.tiktoken", folder: str | None = None):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(tokenizer_path(name, folder)) as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, f)}
+        self.t = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.memo: dict[str, int] = {}
+
+    def count_words(self, texts: list[list[str]]) -> list[int]:
+        """Tokens of each text given as its words."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        new: set[str] = set().union(*texts).difference(self.memo)
+        for w in new:
+            self.memo[w] = len(self.t.encode_ordinary(" " + w))
+        get = self.memo.__getitem__
+        return [sum(map(get, s)) for s in texts]
+
+
+@lru_cache(4)
+def byte_bpe(name: str = "byte_bpe_multi_50k.tiktoken", folder: str | None = None) -> ByteBpe:
+    """One for each worker process."""
+    return ByteBpe(name, folder)
