@@ -9,8 +9,10 @@ ranges are counted, and a row's rank is its range's offset plus its place in the
 how the rows spread over the sources: the seeded key is uniform within a source, and fractional ranks are uniform by
 construction. Groups of equal texts are dealt like any other rows: keeping a group of any size whole would break the law.
 
-Null source is a source of its own; null text has no bytes and the checksum of the empty text; rows that agree in id and
-source are ordered by text and so may change places only with equals. Empty input gives an empty result. Other columns pass.
+The seeded order is that of md5(seed | id | source), then id, checksum and size: rows that agree in all of them may change places
+with each other only. Null source is a source of its own; null text has no bytes and the checksum of the empty text; texts of any
+length are read whole; a null id is an empty one in the key. Empty input gives an empty result. `interleave` returns its five
+columns and reads no others; `write_shards` writes all columns of the input, under any name, but replaces `shard` and `slot`.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, text_of
+from .common import quoted, same, table, text_of, unused
 
 #: Least and most rows aimed at in a range of keys, which is what one window sorts; between them, ten thousand ranges.
 RANGE_ROWS = (500, 50_000)
@@ -40,16 +42,17 @@ def interleave(docs: DataFrame, shards: int, *, seed: int = 0, id_col: str = "do
     """Narrow rows (id, size, text_crc32, shard, slot): where each row of `docs` goes."""
     if shards < 1:
         raise ValueError("shards must be positive")
+    source = F.col(quoted(source_col)).cast("string")
     narrow = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("s"),
+        F.col(quoted(id_col)).alias("id"), F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("s"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"),
-    ).withColumn("h", F.xxhash64(F.lit(seed), F.col("id"), F.col("s")))
+    ).withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")), "s")))
     narrow = table(narrow, "shard-keys")
     per = narrow.groupBy("s").agg(F.count(F.lit(1)).alias("of"))
     total = narrow.count()
     grain = max(1, -(-total // min(max(RANGE_ROWS[0], total // 10_000), RANGE_ROWS[1])))  # ranges that the largest source, or all rows, are cut into
     # the top 24 bits of the seeded key give the range
-    rng = F.floor((F.shiftright(F.col("h"), 40) + (1 << 23)) * grain / (1 << 24)).cast("long")
+    rng = F.floor(F.conv(F.substring("h", 1, 6), 16, 10).cast("long") * grain / (1 << 24)).cast("long")
     key = [F.col(c) for c in ("h", "id", "text_crc32", "size")]
     ranked = ranged_rank(narrow, F.col("s"), key, rng, "rank")
     ranked = ranked.join(per, "s").withColumn("f", (F.col("rank") + F.lit(0.5)) / F.col("of"))
@@ -62,8 +65,10 @@ def interleave(docs: DataFrame, shards: int, *, seed: int = 0, id_col: str = "do
 
 def write_shards(docs: DataFrame, path: str, shards: int, *, seed: int = 0, id_col: str = "doc_id", source_col: str = "source") -> None:
     """The shards as folders shard=K of Parquet files, each in slot order. Ids must be unique here, as rows find their place by id."""
-    at = interleave(docs, shards, seed=seed, id_col=id_col, source_col=source_col).select(F.col("id").alias("__id"), "shard", "slot")
-    rows = docs.drop("shard", "slot").join(at, F.col(id_col) == F.col("__id")).drop("__id")
+    docs = docs.drop("shard", "slot")
+    (i,) = unused(docs, "__id")
+    at = interleave(docs, shards, seed=seed, id_col=id_col, source_col=source_col).select(F.col("id").alias(i), "shard", "slot")
+    rows = docs.join(at, F.col(quoted(id_col)) == F.col(i)).select(*same(docs), "shard", "slot")
     rows.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
@@ -75,3 +80,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_sharding": op10_sharding}
+#: CRC-32 by bytes: the table follows from its polynomial.
+_CRC = """t AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS c FROM range(256) r(i))),
+b AS (SELECT doc_id, text, source, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)) AS b FROM documents),
+c AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS s, (coalesce(strlen(text), 0) + 8)::BIGINT AS size,
+xor(list_reduce(b, lambda x, y: xor(x // 256, tab[xor(x % 256, y) + 1])), 4294967295)::BIGINT AS text_crc32 FROM b, t)"""
+ORACLE = {
+    "op10_sharding": f"""WITH {_CRC},
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || s), doc_id, text_crc32, size) - 1 AS rank, count(*) OVER (PARTITION BY s) AS n FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY (rank + 0.5::DOUBLE) / n, s, rank) - 1 AS place, count(*) OVER () AS total FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 24 // total)::INTEGER AS shard, (place - ((place * 24 // total) * total + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM p"""
+}

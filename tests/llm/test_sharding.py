@@ -1,3 +1,4 @@
+import hashlib
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -30,26 +31,39 @@ def test_query(spark):
         assert all(abs(c[s] - total[s] / 24) <= 2 for s in total), shard
 
 
-@pytest.mark.parametrize("shards", [1, 3, 100])
+def plain(rows, shards, seed):
+    """(id, size, crc, shard, slot) by sorting everything: rows (id, text, source)."""
+    by = defaultdict(list)
+    for i, text, source in rows:
+        s = "n" if source is None else "s" + source
+        raw = (text or "").encode()
+        h = hashlib.md5(f"{seed}|{'' if i is None else i}|{s}".encode()).hexdigest()
+        by[s].append((h, (i is not None, i), zlib.crc32(raw), len(raw) + 8, i))
+    seq = sorted(((k + 0.5) / len(v), s, k, x) for s, v in by.items() for k, x in enumerate(sorted(v, key=lambda x: x[:4])))
+    out, at = [], Counter()
+    for place, (_, _, _, (_, _, crc, size, i)) in enumerate(seq):
+        shard = place * shards // len(rows)
+        out.append((i, size, crc, shard, at[shard]))
+        at[shard] += 1
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("shards", [1, 3, 24, 100])
 def test_messy_against_brute_force(spark, shards):
-    got = S.interleave(messy(spark).repartition(3), shards, seed=3).collect()
-    assert len(got) == len(messy_rows())
-    n = Counter(r["shard"] for r in got)
+    got = S.interleave(messy(spark).repartition(3), shards, seed=3)
+    assert got.columns == ["id", "size", "text_crc32", "shard", "slot"]
+    got = sorted(map(tuple, got.collect()), key=str)
+    assert got == plain([(r[0], r[1], r[3]) for r in messy_rows()], shards, 3)
+    n = Counter(r[3] for r in got)
     assert set(n) <= set(range(shards)) and max(n.values()) - min([*n.values(), *([0] if len(n) < shards else [])]) <= 1
-    # the order: fractional ranks of a seeded order in each source
-    seq = [r for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
-    of, src = Counter(r[3] for r in messy_rows()), defaultdict(list)
-    for r in messy_rows():
-        src[r[0]].append(r[3])
-    seen, last = Counter(), -1.0
-    for r in seq:
-        if len(set(src[r["id"]])) == 1:
-            s = src[r["id"]][0]
-            f = (seen[s] + 0.5) / of[s]
-            seen[s] += 1
-            if len(of) == len([k for k in of]) and r["id"] not in (7, None):
-                assert f >= last - 1 / min(of.values())
-                last = max(last, f - 0.5)
+
+
+def test_given_against_brute_force(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    want = plain([tuple(r) for r in docs.collect()], 24, 17)
+    for rows in ((500, 50_000), (7, 9)):  # many ranges, too
+        monkeypatch.setattr(S, "RANGE_ROWS", rows)
+        assert sorted(map(tuple, S.interleave(docs.repartition(5), 24, seed=17).collect()), key=str) == want
 
 
 def test_same_seed_same_place(spark):
