@@ -8,12 +8,17 @@ each level, with closed-form levels from running sums, so no loop and no roundin
 
 A leaf supplies its tokens `max_epochs` times. Its budget is met by whole epochs and then a prefix of one more: the rows in
 that epoch's own seeded order, as long as the running sum of tokens stays within what is left. The running sum is found by
-ranges of the seeded key (counts per range, offsets over ranges, sums within a range), so no window ever holds a whole leaf.
+ranges of the seeded key (sums per range, offsets over coarse and then over fine ranges, sums within a range), so no window ever
+holds a whole leaf, or more than a few hundred ranges of it.
+
+Which domain a source is of says a table (source, domain); sources that aren't in it are of the domain `other`, and where it
+names one more than once the least domain holds. Such a table, and that of the leaves, is sent to the tasks if it is small.
 
 All arithmetic is on whole numbers. A row's tokens are a quarter of its UTF-8 bytes, rounded up, unless `tokens` says otherwise. Null
 text has none; rows without tokens are taken in an epoch that reaches them. Null language or source is a node of its own
 (empty name). Rows equal in id and leaf share a key; ties go by tokens. Weights not given are `default`; a node of weight 0 gets
-nothing. Empty input gives an empty result. Other columns pass.
+nothing. Texts of any length count whole. Empty input gives an empty result. Other columns pass, null or not, under any name; columns
+named as a result (tokens, leaf_budget, epochs) are replaced.
 """
 
 from __future__ import annotations
@@ -24,10 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small, table
+from .common import quoted, same, small, table, unused
 
-#: Ranges of the seeded key in a leaf: three hexadecimal digits.
-HEX = 3
+#: Ranges of the seeded key in a leaf: three hexadecimal digits, the first two of them a coarse range.
+HEX, COARSE = 3, 2
 #: Leaves up to which the leaf table is sent to every task; beyond it is joined by key.
 SMALL_LEAVES = 5_000
 LEVELS = ("domain", "language", "source_name")
@@ -38,12 +43,6 @@ def byte_tokens() -> Column:
     return F.expr("coalesce((octet_length(text) + 3) div 4, 0L)")
 
 
-def domain_of(source: Column) -> Column:
-    """The four domains of the sources named src0, src1, ...: by number, five to a domain; others are `other`."""
-    n = F.regexp_extract(source, r"^src(\d{1,6})$", 1)
-    return F.when(n == "", "other").otherwise(F.concat(F.lit("domain"), F.floor(n.cast("int") / 5).cast("string")))
-
-
 def weight(levels: tuple[str, ...], weights: Mapping[str, int], default: int) -> Column:
     """Whole-number weight of a node: that of its own name at its level, as "level:name", else the default."""
     c = F.lit(default)
@@ -93,39 +92,50 @@ def budgets(leaves: DataFrame, total: tuple[int, int] | int, weights: Mapping[st
 
 def mix(
     docs: DataFrame, *, total: tuple[int, int] | int, weights: Mapping[str, int] = {}, default: int = 1, max_epochs: int = 1, seed: int = 0,
-    id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", tokens: Column | None = None, domain: Column | None = None,
+    id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", tokens: Column | None = None, domains: DataFrame | None = None,
 ) -> DataFrame:
-    """All rows and columns with tokens, leaf_budget and `epochs`: how many times the row is in the mixture (0: left out)."""
+    """All rows and columns with tokens, leaf_budget and `epochs`: how many times the row is in the mixture (0: left out).
+
+    `domains` is a table (source, domain).
+    """
     docs = docs.drop("tokens", "leaf_budget", "epochs")
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    rows = docs.withColumns(
-        {"tokens": (byte_tokens() if tokens is None else tokens).cast("long"), "__domain": domain_of(source) if domain is None else domain,
-         "__language": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "__source": source}
-    )
-    leaf = [F.col(a).alias(b) for a, b in zip(("__domain", "__language", "__source"), LEVELS, strict=True)]
+    dom, lang, src, key, rng, run, whole, rest, ahead, own = unused(docs, *"__domain __language __source __key __range __run __whole __rest __ahead __own".split())
+    ld, ll, ls = unused(docs, "__l_domain", "__l_language", "__l_source")
+    rows = docs.withColumns({
+        "tokens": (byte_tokens() if tokens is None else tokens).cast("long"),
+        lang: F.coalesce(F.col(quoted(lang_col)).cast("string"), F.lit("")), src: F.coalesce(F.col(quoted(source_col)).cast("string"), F.lit("")),
+    })
+    if domains is None:
+        rows = rows.withColumn(dom, F.lit("other"))
+    else:
+        tree = table(domains.groupBy(F.col("source").cast("string").alias(own)).agg(F.min("domain").alias(dom)), "domains")
+        rows = rows.join(small(tree, SMALL_LEAVES), F.col(src) == F.col(own), "left").drop(own).withColumn(dom, F.coalesce(dom, F.lit("other")))
+    leaf = [F.col(a).alias(b) for a, b in zip((dom, lang, src), LEVELS, strict=True)]
     leaves = table(budgets(rows.groupBy(*leaf).agg(F.sum("tokens").alias("supply")), total, weights, default, max_epochs), "leaf-budgets")
+    lv = [ld, ll, ls]
     plan = leaves.select(
-        *[F.col(b).alias(f"__l_{b}") for b in LEVELS], F.col("budget").alias("leaf_budget"),
-        F.expr("case when supply > 0 then budget div supply else 0L end").alias("__whole"), F.expr("case when supply > 0 then budget % supply else 0L end").alias("__rest"),
+        *[F.col(b).alias(c) for b, c in zip(LEVELS, lv, strict=True)], F.col("budget").alias("leaf_budget"),
+        F.expr("case when supply > 0 then budget div supply else 0L end").alias(whole), F.expr("case when supply > 0 then budget % supply else 0L end").alias(rest),
     )
-    on = (F.col("__domain") == F.col("__l_domain")) & (F.col("__language") == F.col("__l_language")) & (F.col("__source") == F.col("__l_source_name"))
+    on = (F.col(dom) == F.col(ld)) & (F.col(lang) == F.col(ll)) & (F.col(src) == F.col(ls))
     rows = rows.join(small(plan, SMALL_LEAVES), on)
     # the order of the epoch that is cut: its seed, its number and the row's id
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = rows.withColumn("__key", key).withColumn("__range", F.substring("__key", 1, HEX))
-    lv = ["__l_domain", "__l_language", "__l_source_name"]
-    ranges = rows.groupBy(*[F.col(c).alias(f"__r{c}") for c in lv], F.col("__range").alias("__r_range")).agg(F.sum("tokens").alias("__t"))
-    ahead = Window.partitionBy(*[f"__r{c}" for c in lv]).orderBy("__r_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("__ahead", F.coalesce(F.sum("__t").over(ahead), F.lit(0))).drop("__t")
-    inside = Window.partitionBy(*lv, "__range").orderBy("__key", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__run", F.sum("tokens").over(inside))
-    match = F.col("__range") == F.col("__r_range")
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(whole).cast("string"), F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit(""))))
+    rows = rows.withColumn(key, order).withColumn(rng, F.substring(key, 1, HEX))
+    before = lambda *p: Window.partitionBy(*p).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*[F.col(c).alias(n) for c, n in zip(lv, "dls", strict=True)], F.col(rng).alias("g")).agg(F.sum("tokens").alias("t"))
+    ranges = table(ranges.withColumn("c", F.substring("g", 1, COARSE)), "ranges")
+    coarse = ranges.groupBy("d", "l", "s", F.col("c").alias("g")).agg(F.sum("t").alias("t")).select("d", "l", "s", F.col("g").alias("c"), F.coalesce(F.sum("t").over(before("d", "l", "s")), F.lit(0)).alias("far"))
+    ranges = ranges.withColumn("near", F.coalesce(F.sum("t").over(before("d", "l", "s", "c")), F.lit(0))).join(coarse, ["d", "l", "s", "c"])
+    ranges = ranges.select("d", "l", "s", "g", (F.col("far") + F.col("near")).alias(ahead))
+    inside = Window.partitionBy(*lv, rng).orderBy(key, "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn(run, F.sum("tokens").over(inside))
+    ranges = ranges.select(*[F.col(n).alias(f"{c}_") for c, n in zip(lv, "dls", strict=True)], F.col("g").alias(f"{rng}_"), ahead)
+    match = F.col(rng) == F.col(f"{rng}_")
     for c in lv:
-        match = match & (F.col(c) == F.col(f"__r{c}"))
-    taken = F.col("__ahead") + F.col("__run") <= F.col("__rest")
-    return rows.join(ranges, match).select(
-        *[F.col(f"`{c}`") for c in docs.columns], "tokens", "leaf_budget", (F.col("__whole") + F.when(taken & (F.col("__rest") > 0), 1).otherwise(0)).cast("int").alias("epochs")
-    )
+        match = match & (F.col(c) == F.col(f"{c}_"))
+    taken = F.col(ahead) + F.col(run) <= F.col(rest)
+    return rows.join(ranges, match).select(*same(docs), "tokens", "leaf_budget", (F.col(whole) + F.when(taken & (F.col(rest) > 0), 1).otherwise(0)).cast("int").alias("epochs"))
 
 
 #: Production parameters of the query: half of all tokens, at most four epochs.
@@ -133,11 +143,17 @@ WEIGHTS = {"domain:domain0": 4, "domain:domain1": 3, "domain:domain2": 2, "langu
 TOTAL = (1, 2)
 EPOCHS = 4
 SEED = 11
+#: The tree above the sources of the query: twenty sources in four domains.
+DOMAINS = tuple((f"src{i}", f"domain{i // 5}") for i in range(20))
+
+
+def domain_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(DOMAINS, "source string, domain string")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    out = mix(docs, total=TOTAL, weights=WEIGHTS, max_epochs=EPOCHS, seed=SEED)
+    out = mix(docs, total=TOTAL, weights=WEIGHTS, max_epochs=EPOCHS, seed=SEED, domains=domain_table(spark))
     return out.select("doc_id", "lang", "source", "tokens", "leaf_budget", "epochs")
 
 
@@ -159,8 +175,9 @@ WINDOW f AS (PARTITION BY {parent} ORDER BY r NULLS LAST, {name} ROWS BETWEEN UN
 
 
 ORACLE = {
-    "op9_mixing": f"""WITH d AS (SELECT doc_id, lang, source, (coalesce(strlen(text), 0) + 3) // 4 AS tokens, coalesce(lang, '') AS language, coalesce(source, '') AS source_name,
-CASE WHEN regexp_extract(coalesce(source, ''), '^src([0-9]{{1,6}})$', 1) = '' THEN 'other' ELSE 'domain' || (regexp_extract(source, '^src([0-9]{{1,6}})$', 1)::INTEGER // 5)::VARCHAR END AS domain FROM documents),
+    "op9_mixing": f"""WITH tree(src, domain) AS (VALUES {", ".join(map(str, DOMAINS))}),
+d AS (SELECT doc_id, lang, source, (coalesce(strlen(text), 0) + 3) // 4 AS tokens, coalesce(lang, '') AS language, coalesce(source, '') AS source_name,
+coalesce(domain, 'other') AS domain FROM documents LEFT JOIN tree ON src = source),
 leaf AS (SELECT domain, language, source_name, sum(tokens)::HUGEINT AS supply, sum(tokens)::HUGEINT * {EPOCHS} AS cap FROM d GROUP BY ALL),
 d1 AS (SELECT domain, sum(cap)::HUGEINT AS cap, (SELECT sum(supply)::HUGEINT * {TOTAL[0]} // {TOTAL[1]} FROM leaf) AS budget, ({_w('domain')})::HUGEINT AS w FROM leaf GROUP BY 1),
 b1 AS {_fill_sql('d1', '1=1', 'domain', 'domain')},

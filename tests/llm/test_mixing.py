@@ -57,7 +57,7 @@ def test_prefixes_epochs_and_shortage(spark):
     r = random.Random(9)
     rows = [(i, "x" * r.randint(0, 400), r.choice(["en", "de"]), r.choice(["src0", "src1", "src5", "src0"])) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
-    got = M.mix(df, total=(3, 2), weights={"domain:domain1": 6}, max_epochs=4, seed=5).collect()
+    got = M.mix(df, total=(3, 2), weights={"domain:domain1": 6}, max_epochs=4, seed=5, domains=M.domain_table(spark)).collect()
     leaf = defaultdict(list)
     for x in got:
         assert x["tokens"] == (len(x["text"]) + 3) // 4
@@ -79,6 +79,21 @@ def test_messy(spark):
     assert M.mix(nothing(spark), total=(1, 1)).count() == 0
 
 
+def test_names_and_domains(spark):
+    names = "__domain __language __source __key __range __run __whole __rest __ahead __own __l_domain __l_language __l_source".split()
+    rows = [(i, "word " * (i + 1), "en", f"s{i % 4}", *[f"mine{i}"] * len(names)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    tree = spark.createDataFrame([("s0", "a"), ("s1", "a"), ("s2", "b"), ("s2", "c"), ("s1234567", "b")], "source string, domain string")
+    got = M.mix(df, total=(1, 2), weights={"domain:a": 3}, domains=tree, seed=1).collect()
+    assert len(got) == 40 and all(r[n] == f"mine{r['doc_id']}" for r in got for n in names)
+    tokens = {}
+    for r in got:
+        tokens[r["source"]] = tokens.get(r["source"], 0) + r["tokens"]
+    leaves = {({"s0": "a", "s1": "a", "s2": "b"}.get(s, "other"), "en", s): n for s, n in tokens.items()}
+    want = {k[2]: v for k, v in brute(leaves, sum(tokens.values()) // 2, {"domain:a": 3}, 1).items()}
+    assert {r["source"]: r["leaf_budget"] for r in got} == want
+
+
 def test_leaves_joined_by_key(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     a = M.op9_mixing(spark, "/root/testdata/sf0.001").collect()
