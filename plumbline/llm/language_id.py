@@ -8,8 +8,10 @@ PENALTY times half the log of the trigram count, plus LEAST_GAIN for each trigra
 draws. The language of the largest proportion in the chosen set is the prediction, and that proportion its score.
 
 Null texts and those without a letter are `und` with score 0; so is everything if there is nothing to learn from. Texts of
-any length are read whole. Labels that are null teach nothing. Only the text enters a prediction. Rows with equal ids each
-get their own result; other columns don't matter here.
+any length are read whole, some twenty bytes of memory to a character at a time. Labels that are null teach nothing. Only the text
+enters a prediction. Rows with equal ids or texts each get their own result; an empty table gives an empty one; other columns pass,
+null or not, under any name, but columns named as a result (lang_pred, lang_score, lang_mixture) are replaced. Any number of labels
+is learned; the model, sent to all tasks, is their number times BUCKETS.
 """
 
 from __future__ import annotations
@@ -22,14 +24,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship
-from .tokens import SLICE
+from .common import crc_mod, quoted, same, ship, unused
+from .tokens import cuts, slices
 
 #: Trigram buckets, a power of two.
 BITS = 12
 BUCKETS = 1 << BITS
-#: Labels there may be: the model is their number times BUCKETS.
-MAX_LANGUAGES = 1_000
 ITERATIONS = 20
 PENALTY = 2.0
 LEAST_GAIN = 0.01
@@ -73,8 +73,8 @@ def count(docs: DataFrame, label: Column, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
-            for i in range(0, len(b), SLICE):
-                part = b.iloc[i : i + SLICE]
+            for lo, hi in cuts(map(len, b["text"])):
+                part = b.iloc[lo:hi]
                 doc, bucket, _ = trigrams(list(part["text"]))
                 lab, names = pd.factorize(part["label"])
                 got = np.bincount(lab[doc] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
@@ -84,7 +84,7 @@ def count(docs: DataFrame, label: Column, text_col: str = "text") -> DataFrame:
             at = np.flatnonzero(row)
             yield pd.DataFrame({"label": name, "bucket": at, "n": row[at]})
 
-    rows = docs.select(label.cast("string").alias("label"), F.col(text_col).alias("text")).filter("label is not null and text is not null")
+    rows = docs.select(label.cast("string").alias("label"), F.col(quoted(text_col)).alias("text")).filter("label is not null and text is not null")
     return rows.mapInPandas(run, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -137,13 +137,11 @@ class Model:
 
 
 def fit(docs: DataFrame, label: Column, text_col: str = "text") -> Model:
-    rows = count(docs, label, text_col).collect()  # at most languages times BUCKETS
-    names = sorted({r["label"] for r in rows})
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} labels; at most {MAX_LANGUAGES}")
-    counts, at = np.zeros((len(names), BUCKETS)), {x: i for i, x in enumerate(names)}
-    for r in rows:
-        counts[at[r["label"]], r["bucket"]] = r["n"]
+    rows = count(docs, label, text_col).toPandas()  # at most languages times BUCKETS
+    at, names = pd.factorize(rows["label"], sort=True)
+    names = [str(x) for x in names]
+    counts = np.zeros((len(names), BUCKETS))
+    counts[at, rows["bucket"].to_numpy(int)] = rows["n"]
     return Model(names, counts)
 
 
@@ -161,14 +159,15 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         m = sent.value
         for b in batches:
             names, scores, mixes = [], [], []
-            for i in range(0, len(b), SLICE):
-                x, s, p = m.infer(["" if t is None else t for t in b.iloc[i : i + SLICE]])
+            for part in slices(["" if t is None else t for t in b]):
+                x, s, p = m.infer(part)
                 names += x
                 scores += list(s)
                 mixes += [{m.languages[j]: float(q[j]) for j in np.flatnonzero(q)} for q in p]
             yield pd.DataFrame({"lang_pred": names, "lang_score": scores, "lang_mixture": mixes})
 
-    return docs.withColumn("__r", run(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns], "__r.lang_pred", "__r.lang_score", "__r.lang_mixture")
+    (r,) = unused(docs, "__r")
+    return docs.withColumn(r, run(F.col(quoted(text_col)))).select(*same(docs), f"{r}.lang_pred", f"{r}.lang_score", f"{r}.lang_mixture")
 
 
 def held_out() -> Column:
