@@ -8,11 +8,13 @@ A document (its ids, then the end id) first gives whole sequences. What remains
 `waste` of a sequence; otherwise the largest reciprocal part capacity/(k+1), which k+1 of its kind fill exactly, is cut off, and so
 on with the rest. So padding is at most `waste` in every sequence of a class.
 
-What a worker can't fill, under k pieces of class k, is filled class by class among the workers of a group of GROUP, then
-among those groups, up to one group; there the last pieces of all classes, a number bounded by the classes alone, are packed
-best fit, largest first. Each round reads a table in the shared folder, so a lost executor repeats its own tasks only.
+What a worker can't fill, under k pieces of class k, is filled among the workers of a group of GROUP, each class by itself, then
+among those groups, until one is left; then the last pieces of all classes, a number bounded by the classes alone (fewer than one
+sequence each), are packed in one task, best fit, largest first. Each round reads a table in the shared folder, so a lost executor
+repeats its own tasks only.
 
-Null text is an empty one, which is the end id alone. Ids that repeat are documents of their own. Empty input gives an empty result.
+Null text is an empty one, which is the end id alone. Texts of any length are cut whole. Rows that repeat an id or a text are
+documents of their own; null ids stay null. Empty input gives an empty result. Columns other than id and text aren't read.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
-from .tokens import SLICE, word_bpe
+from .common import quoted, ship, table
+from .tokens import cuts, word_bpe
 
 #: Workers whose leftovers are filled together in one round.
 GROUP = 64
@@ -99,18 +101,18 @@ def cut_and_fill(docs: DataFrame, capacity: int, waste: float, end_id: int, id_c
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, cuts, end = word_bpe(vocabulary, folder), cut_table(capacity, waste), np.array([end_id], "<u4").tobytes()
+        bpe, parts, end = word_bpe(vocabulary, folder), cut_table(capacity, waste), np.array([end_id], "<u4").tobytes()
         worker = TaskContext.get().partitionId()
         fill = Filler(worker << 33)
         names = ["sequence_id", "offset", "length", "class", "doc_id", "start", "doc_tokens", "worker", "ids"]
 
         for b in batches:
-            for i in range(0, len(b), SLICE):
-                part, out = b.iloc[i : i + SLICE], []
+            for lo, hi in cuts(0 if t is None else len(t) for t in b["text"]):
+                part, out = b.iloc[lo:hi], []
                 for doc, ids in zip(part["id"], bpe.encode_all(["" if t is None else t for t in part["text"]]), strict=True):
                     ids += end
                     n, at = len(ids) // 4, 0
-                    for length, k in [(capacity, 1)] * (n // capacity) + cuts[n % capacity]:
+                    for length, k in [(capacity, 1)] * (n // capacity) + parts[n % capacity]:
                         out += fill.add([OPEN, OPEN, length, k, doc, at, n, worker, ids[4 * at : 4 * (at + length)]])
                         at += length
                 if out:
@@ -119,7 +121,7 @@ def cut_and_fill(docs: DataFrame, capacity: int, waste: float, end_id: int, id_c
             yield pd.DataFrame(left, columns=names)
 
     # ids go as text: pandas would make numbers with a null among them inexact
-    return docs.select(F.col(id_col).cast("string").alias("id"), "text").mapInPandas(run, PIECE + ", ids binary")
+    return docs.select(F.col(quoted(id_col)).cast("string").alias("id"), "text").mapInPandas(run, PIECE + ", ids binary")
 
 
 def pack(
@@ -138,12 +140,12 @@ def pack(
     workers = (left.agg(F.max("worker")).collect()[0][0] or 0) + 1
     schema, level, names = first.schema, 0, first.columns
 
-    def filler(last: bool, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def filler(level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
         def run(g: pd.DataFrame) -> pd.DataFrame:
             worker = int(g["worker"].iloc[0]) // GROUP
-            fill, out = Filler((level << 56) | (worker << 33)), []
-            g = g.sort_values(["worker", "start", "length", "doc_id"], kind="stable")
-            for r in g[names].itertuples(index=False):
+            # ids of its own for each round, group and class; a class of a group fills fewer than GROUP sequences
+            fill, out = Filler((level << 56) | (worker << 33) | (0 if last else int(g["class"].iloc[0]) << 16)), []
+            for r in g.sort_values(["worker", "start", "length", "doc_id"], kind="stable")[names].itertuples(index=False):
                 out += fill.add(list(r))
             out += fill.best_fit(capacity) if last else [[OPEN, OPEN, *r[2:]] for r in fill.rest()]
             f = pd.DataFrame(out, columns=names)
@@ -154,8 +156,8 @@ def pack(
 
     while True:
         level += 1
-        last = workers <= GROUP
-        made = left.withColumn("__g", F.floor(F.col("worker") / GROUP)).groupBy("__g").applyInPandas(filler(last, level), schema)
+        last = level > 1 and workers == 1
+        made = left.withColumn("__g", F.floor(F.col("worker") / GROUP)).groupBy("__g", *([] if last else ["class"])).applyInPandas(filler(level, last), schema)
         made = table(made, f"pieces-{level}")
         done = done.unionByName(made.filter("sequence_id >= 0"))
         if last:

@@ -1,17 +1,41 @@
+import hashlib
 import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
+from plumbline.llm import language_id as L
+from plumbline.llm import mixing as M
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import messy, nothing
+from test_language_id import plain_infer
 from test_minhash import brute
+from test_mixing import brute as budgets
 from test_packing import whole
 
 D = "/root/testdata/sf0.001"
 
 
+def mixed(rows):
+    """Ids of the rows in the mixture, by loops."""
+    domain, leaf, out = dict(M.DOMAINS), defaultdict(list), set()
+    tokens = lambda r: (len((r["text"] or "").encode()) + 3) // 4
+    for r in rows:
+        leaf[domain.get(r["source"], "other"), r["lang"] or "", r["source"] or ""].append(r)
+    supply = {k: sum(map(tokens, v)) for k, v in leaf.items()}
+    for k, budget in budgets(supply, sum(supply.values()) * P.TOTAL[0] // P.TOTAL[1], P.WEIGHTS, 1).items():
+        whole, rest = divmod(budget, supply[k]) if supply[k] else (0, 0)
+        run = 0
+        for r in sorted(leaf[k], key=lambda r: (hashlib.md5(f"{P.SEED}|{whole}|{r['doc_id']}".encode()).hexdigest(), tokens(r))):
+            run += tokens(r)
+            if whole or rest and run <= rest:
+                out.add(r["doc_id"])
+    return out
+
+
 def test_stages(spark):
     """Each stage on what the one before kept, against brute force."""
     docs = spark.read.parquet(f"{D}/documents.parquet")
@@ -25,12 +49,15 @@ def test_stages(spark):
             kept[name] = {r["doc_id"]: r for r in cur.collect()}
     before = {r["doc_id"]: r for r in docs.collect()}
     assert set(before) - set(kept["language_id"]) == {900, 901, 902}
+    model = L.fit(docs, F.when(~L.held_out(), F.col("lang")))
+    plain = {i: plain_infer(model, r["text"] or "") for i, r in before.items()}
+    assert set(kept["language_id"]) == {i for i, (lang, share) in plain.items() if lang != "und" and share >= P.LEAST_SHARE}
     by = defaultdict(list)
     for i, r in kept["language_id"].items():
         by[r["text"]].append(i)
     assert set(kept["exact_dedup"]) == {max(v) for v in by.values()}
-    assert set(kept["near_dedup"]) == {i for i, _, c in brute([(i, r["text"]) for i, r in kept["exact_dedup"].items()]) if i == c}
-    assert 0 < len(kept["mixing"]) < len(kept["near_dedup"]) and set(kept["mixing"]) <= set(kept["near_dedup"])
+    assert set(kept["near_dedup"]) == {i for i, _, c in brute([(i, r["text"]) for i, r in kept["exact_dedup"].items()], 5, 80) if i == c}
+    assert set(kept["mixing"]) == mixed(kept["near_dedup"].values())
     pieces = defaultdict(list)
     fill = Counter()
     for r in cur.collect():
@@ -48,6 +75,20 @@ def test_messy_and_empty(spark):
         docs.collect()
 
 
+def test_no_labels_reject_nothing_but_the_letterless(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in P.languages(spark, docs, D).collect()] == [1]
+
+
+def test_runs_delete_their_own_tables_only(spark):
+    """Two runs at a time in one driver."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.map(lambda _: sorted(map(tuple, P.run(spark, D).drop("ids", "sequence_id", "offset").collect())), range(2))
+    assert a == b and len(a) > 100
+
+
 def test_query(spark):
     import __spark_entry__ as E
 
