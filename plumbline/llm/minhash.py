@@ -12,13 +12,15 @@ The query's contract says three words and 85; elsewhere five words and 80 are th
    the planes give the number of equal low bits, and from it, less the matches by chance, the estimated similarity. Pairs
    whose estimate is under the threshold by over five standard errors are dropped, the rest confirmed on full sets.
 4. Buckets whose members are then in one component are done. In the others, only pairs of different components are left,
-   compared by the same estimate: small buckets by a join on the key, large ones cut in blocks, any two blocks in a task. Only
-   signatures go into buckets and blocks; texts are fetched for the pairs that are left, to be confirmed.
+   compared by the same estimate: small buckets by a join on the key, large ones cut in blocks, any two blocks in a task, out of which
+   come not pairs but the members that have a partner left there. Only signatures go into buckets and blocks; texts are fetched for
+   the pairs and members that are left, those of two blocks to be compared by a product of incidence matrices.
 5. Components over all confirmed links.
 
 No key gathers rows without bound: a hub's bucket is salted by CHUNK members, a block has BLOCK, and the partners of one text are
 confirmed in SPREAD parts, each read row by row. What is quadratic is a bucket of very many texts that all lie just under the
-threshold to each other: their signatures are compared pair by pair, and pairs within the error of the estimate are confirmed.
+threshold to each other: their signatures are compared pair by pair, and those within the error of the estimate by their sets, a
+text being fetched once for every BLOCK others. Out of that, too, come only links, one for any two components of two blocks.
 
 Empty and null texts have an empty set, link with nothing and are a component each. Texts of any length are read whole. Rows that
 repeat an id or a text count each. The component is the least id reachable; null ids are passed over, and a component of null ids
@@ -203,6 +205,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
 
+def with_texts(wanted: DataFrame, number: str, rows: DataFrame) -> DataFrame:
+    """The rows of a written table with the texts of the numbers in them; no other texts move where those are few."""
+    few = table(wanted.select(F.col(number).alias("u")).distinct(), "texts-wanted")
+    texts = rows.select(F.col("v").alias("tv"), "text").join(small(few, SENT), F.col("tv") == F.col("u"), "left_semi")
+    return wanted.join(texts, F.col(number) == F.col("tv")).drop("tv")
+
+
 def confirm(pairs: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b: numbers of rows with a text) that link by their full sets.
 
@@ -211,11 +220,7 @@ def confirm(pairs: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
     ship(pairs.sparkSession)
     pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).alias("part"))
     wanted = pairs.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("w")).distinct().unionByName(pairs.select("a", "part", "b", F.col("b").alias("w")))
-    wanted = table(wanted, "pairs")
-    texts = rows.select(F.col("v").alias("tv"), "text")
-    few = table(wanted.select(F.col("w").alias("u")).distinct(), "pair-texts")
-    texts = texts.join(small(few, SENT), F.col("tv") == F.col("u"), "left_semi")
-    sent = wanted.join(texts, F.col("w") == F.col("tv")).select("a", "part", "b", "text")
+    sent = with_texts(table(wanted, "pairs"), "w", rows).select("a", "part", "b", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, at, own = Shingler(rule.size), None, None
@@ -233,32 +238,63 @@ def confirm(pairs: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long")
 
 
-def block_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of different labels that may link, for rows (key, i, j, k, v, label, n, planes): k, the member's block, is i or j."""
+def block_members(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Of rows (key, i, j, k, v, label, n, planes), where k, the member's block, is i or j: those that may link with one of another label."""
     ship(rows.sparkSession)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        left, right = g[g["k"] == g["i"]], g[g["k"] == g["j"]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": g["v"][:0], "b": g["v"][:0]})
-        n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None]
-        ok = (np.minimum(n, m) * 100 >= np.maximum(n, m) * rule.percent) & (left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None])
-        p, q = (np.array(x["planes"].tolist(), np.int64).view(np.uint64) for x in (left, right))
-        same = np.full(ok.shape, WORDS * 64)
+        left, right = np.flatnonzero(g["k"] == g["i"]), np.flatnonzero(g["k"] == g["j"])
+        size, label = g["n"].to_numpy(), g["label"].to_numpy()
+        n, m = size[left][:, None], size[right][None]
+        ok = (np.minimum(n, m) * 100 >= np.maximum(n, m) * rule.percent) & (label[left][:, None] != label[right][None])
+        planes = np.array(g["planes"].tolist(), np.int64).view(np.uint64)
+        p, q, same = planes[left], planes[right], np.full(ok.shape, WORDS * 64)
         for w in range(WORDS):
             diff = np.zeros(ok.shape, np.uint64)
             for b in range(BITS):
                 diff |= p[:, None, b * WORDS + w] ^ q[None, :, b * WORDS + w]
             same -= np.bitwise_count(diff)
         c = 2.0**-BITS
-        a, b = np.nonzero(ok & ((same / (WORDS * 64) - c) / (1 - c) >= rule.least))
-        return pd.DataFrame({"a": left["v"].to_numpy()[a], "b": right["v"].to_numpy()[b]})
+        ok &= (same / (WORDS * 64) - c) / (1 - c) >= rule.least
+        return g.iloc[np.union1d(left[ok.any(1)], right[ok.any(0)])][["key", "i", "j", "k", "v", "label"]]
+
+    return rows.groupBy("key", "i", "j").applyInPandas(run, "key long, i int, j int, k int, v long, label long")
+
+
+def block_links(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) between members of different labels for rows (key, i, j, k, v, label, text), one for any two labels of two blocks."""
+    ship(rows.sparkSession)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        shingle = Shingler(rule.size)
+        sets = [shingle(t) for t in g["text"]]
+        n = np.array([len(x) for x in sets])
+        who = np.repeat(np.arange(len(sets)), n)
+        _, col, cnt = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        common = np.cumsum(cnt > 1) - 1  # what only one set has is in no intersection
+        col = np.where(cnt[col] > 1, common[col], -1)
+        left, right = np.flatnonzero(g["k"] == g["i"]), np.flatnonzero(g["k"] == g["j"])
+        row_l, row_r = np.full(len(sets), -1), np.full(len(sets), -1)
+        row_l[left], row_r[right] = np.arange(len(left)), np.arange(len(right))
+        both = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, int((cnt > 1).sum()), 8192):  # the product in slices of the vocabulary
+            part = (col >= lo) & (col < lo + 8192)
+            x, y = np.zeros((len(left), 8192), np.float32), np.zeros((len(right), 8192), np.float32)
+            pl, pr = part & (row_l[who] >= 0), part & (row_r[who] >= 0)
+            x[row_l[who[pl]], col[pl] - lo] = 1
+            y[row_r[who[pr]], col[pr] - lo] = 1
+            both += x @ y.T
+        union = n[left][:, None] + n[right][None] - both
+        label, v = g["label"].to_numpy(), g["v"].to_numpy()
+        a, b = np.nonzero((100 * both >= rule.percent * union) & (label[left][:, None] != label[right][None]))
+        out = pd.DataFrame({"a": v[left[a]], "b": v[right[b]], "x": label[left[a]], "y": label[right[b]]})
+        return out.drop_duplicates(["x", "y"])[["a", "b"]]
 
     return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def unlinked_pairs(members: DataFrame, label: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b) of buckets with more than one component left: pairs of different components that may link."""
+def links_between(members: DataFrame, label: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): links between different components, in buckets with more than one component left."""
     named = members.join(label, F.col("v") == F.col("lv"), "left").select("key", "m", "v", "n", "planes", F.coalesce("label", "v").alias("label"))
     named = table(named, "bucket-labels")
     mixed = named.groupBy(F.col("key").alias("mkey")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("mkey")
@@ -270,8 +306,9 @@ def unlinked_pairs(members: DataFrame, label: DataFrame, rule: Rule) -> DataFram
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     large = rest.filter(F.col("m") > LARGE).withColumn("k", F.pmod(F.xxhash64("v"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     large = large.select("key", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "v", "label", "n", "planes")
-    both = near.select(F.col("va").alias("a"), F.col("vb").alias("b")).unionByName(block_pairs(large, rule))
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    large = table(block_members(large, rule), "block-members")
+    found = confirm(near.select(F.col("va").alias("a"), F.col("vb").alias("b")).distinct(), rows, rule)
+    return found.unionByName(block_links(with_texts(large, "v", rows), rule))
 
 
 def cluster_numbered(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -293,8 +330,7 @@ def cluster_numbered(rows: DataFrame, rule: Rule) -> DataFrame:
     star = salted.join(hubs, (F.col("key") == F.col("hkey")) & (F.col("salt") == F.col("hsalt"))).filter((F.col("v") != F.col("a")) & may_link(("n", "hn"), ("planes", "hplanes"), rule))
     links = table(confirm(star.select("a", F.col("v").alias("b")).distinct(), rows, rule), "links-star")
     label = components(links).select(F.col("v").alias("lv"), F.col("component").alias("label"))
-    more = confirm(unlinked_pairs(members, label, rule), rows, rule)
-    links = table(links.unionByName(more), "links")
+    links = table(links.unionByName(links_between(members, label, rows, rule)), "links")
     final = components(links).select(F.col("v").alias("lv"), F.col("component").alias("root"))
     named = reps.select("digest", "v", "best").join(final, F.col("v") == F.col("lv"), "left").select(F.col("digest").alias("cd"), F.coalesce("root", "v").alias("root"), "best")
     of = named.groupBy(F.col("root").alias("r")).agg(F.min("best").alias("first"))
