@@ -1,3 +1,3 @@
 from .relational import (  # noqa: F401
-    AGGREGATES, group, join, order, partition, partitioned_join, project, select, semi_reduce, top,
+    AGGREGATES, group, interpolate, join, order, partition, partitioned_join, project, select, semi_reduce, top,
 )

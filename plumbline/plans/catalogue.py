@@ -65,20 +65,55 @@ def partitioned_keys(spark, d):
     t = tables(spark, d)
     left = t["orders"].filter(F.col("o_totalprice") > 200000).select("o_orderkey")
     right = t["lineitem"].select("l_orderkey")
-    return R.semi_reduce(left, right, "o_orderkey", "l_orderkey").join(R.semi_reduce(right, left, "l_orderkey", "o_orderkey").distinct(), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey")
+    return R.semi_reduce(left, right, "o_orderkey", "l_orderkey").join(R.semi_reduce(right, left, "l_orderkey", "o_orderkey"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey").distinct()
 
 
 def streamed_group(spark, d):
     """The keyed group as a stream over the orders file, kept per key."""
-    import uuid
-
     schema = load(spark, d, "orders").schema
     df = read_growing(spark, f"{d}/orders.parquet", schema)
     agg = R.group(df, ["o_orderstatus"], {"n": F.count("o_orderkey"), "max_price": F.max("o_totalprice")})
-    return run_available(agg, f"streamed_{uuid.uuid4().hex}")
+    return run_available(agg)
+
+
+def mixed_join(spark, d):
+    """Keys of either width meet: an int column with a bigint one, either way round."""
+    t = tables(spark, d)
+    lines = t["lineitem"].select("l_orderkey", "l_linenumber").withColumn("k", F.col("l_orderkey").cast("int"))
+    both = {"L": lines.select("k", "l_linenumber"), "O": t["orders"].select(F.col("o_orderkey").cast("long").alias("o"), "o_custkey")}
+    a = evaluate(H.PartitionedJoin(y("L"), y("O"), where(H.Equal(y("k"), y("o")))), spark, both).select("k", "l_linenumber", "o_custkey")
+    b = evaluate(H.Join(y("O"), y("L"), where(H.Equal(y("o"), y("k")))), spark, both)
+    return a.join(b.groupBy("o").agg(F.count("k").alias("n")), F.col("k") == F.col("o")).select("k", "l_linenumber", "o_custkey", "n")
+
+
+def span_plus(spark, d):
+    """Plus over a span of the values of a literal column, as a literal of a projection."""
+    total = evaluate(H.Plus(H.List(H.Span(1, 2, 3), H.Span(4))), spark)
+    return evaluate(H.Project(NA, As("n_nationkey", y("n_nationkey"), "v", H.Plus(y("n_nationkey"), total))), spark, tables(spark, d))
+
+
+#: The rows of the literal tables are those of the fixtures.
+PEOPLE = H.Table(H.ID(H.List(1, 2, 3)), H.LastName(H.DictionaryEncodedList(H.List(0, 8, 14, 20), "McCarthyMaddenLiskov")), H.Index(H.List(1)))
+INDEXED = H.TableIndexed(
+    H.Table(H.k(H.List(1, 2), H.List(3)), H.v(H.List("a", "b"), H.List("c"))), H.List(0, 1 << 32, 1), H.Table(H.Column(y("o"), H.List(7, 8)), H.Column(y("v"), H.List("x", "y"))), H.List(1, 0, 1)
+)
+
+
+def deferred_then_grouped(spark, d):
+    """A deferred filter taken up by the operator after it."""
+    s = Settings()
+    s.put("DeferGatherPhase", True)
+    return evaluate(H.Group(H.Select(LI, where(H.Greater(y("l_linenumber"), 5))), H.By(y("l_linenumber")), As("n", H.Count(y("l_orderkey")))), spark, tables(spark, d), s)
+
+
+def option(name: str, value):
+    s = Settings()
+    s.put(name, value)
+    return s
 
 
 def literal_join(spark, d):
+    """The rows are those of the fixtures."""
     a = table_literal(spark, {"l_key": [4000001, 4000002, 20009, 5, 4], "l_value": [1, 2, 3, 4, 5]})
     b = table_literal(spark, {"o_key": [5, 4, 20009, 4000002], "o_value": [1, 2, 3, 4]})
     return R.partitioned_join(a, b, "l_key", "o_key")
@@ -184,6 +219,18 @@ Q: dict = {
     ),
     "join_partitioned_matched_keys": (partitioned_keys, "SELECT DISTINCT o_orderkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 200000"),
     "join_literal": (literal_join, "SELECT * FROM (VALUES (4000001,1),(4000002,2),(20009,3),(5,4),(4,5)) a(l_key,l_value) JOIN (VALUES (5,1),(4,2),(20009,3),(4000002,4)) b(o_key,o_value) ON l_key = o_key"),
+    "join_int_bigint": (
+        mixed_join,
+        "SELECT CAST(l_orderkey AS INTEGER) AS k, l_linenumber, o_custkey, n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN (SELECT l_orderkey AS q, count(*) AS n FROM lineitem GROUP BY 1) ON q = o_orderkey",
+    ),
+    "join_fixed_partitions": (
+        sym(H.Project(H.PartitionedJoin(OR, LI, where(H.Equal(y("o_orderkey"), y("l_orderkey")))), As("o_orderkey", y("o_orderkey"), "l_linenumber", y("l_linenumber"))), option("PartitionMode", "RadixBitsFixedMin")),
+        "SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
+    ),
+    "join_minimum_partition": (
+        sym(H.Project(H.PartitionedJoin(OR, LI, where(H.Equal(y("o_orderkey"), y("l_orderkey")))), As("o_orderkey", y("o_orderkey"), "l_linenumber", y("l_linenumber"))), option("RadixJoinMinPartitionSize", 1000)),
+        "SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
+    ),
     "join_all_columns": (sym(H.Join(NA, y("region"), where(H.Equal(y("n_regionkey"), y("r_regionkey"))))), "SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "join_then_project": (
         sym(H.Project(H.Join(CU, NA, where(H.Equal(y("c_nationkey"), y("n_nationkey")))), As("c_custkey", y("c_custkey"), "v", H.Plus(y("n_regionkey"), y("c_nationkey"))))),
@@ -207,6 +254,18 @@ Q: dict = {
     ),
     "let_parallel": (sym(H.Let(H.Group(LI, H.By(y("l_linenumber")), FIVE), H.Parallel(4))), f"SELECT l_linenumber, {FIVE_SQL} FROM lineitem GROUP BY 1"),
     "streamed_group": (streamed_group, "SELECT o_orderstatus, count(o_orderkey) AS n, max(o_totalprice) AS max_price FROM orders GROUP BY 1"),
+    "dictionary_table": (sym(H.Select(PEOPLE, where(H.StringContainsQ(y("LastName"), "i")))), """SELECT * FROM (VALUES (3, 'Liskov')) t("ID", "LastName")"""),
+    "indexed_table": (sym(H.Project(INDEXED, As("k", y("k"), "v", y("v"), "s", H.Plus(y("k"), y("o"))))), "SELECT * FROM (VALUES (1, 'a', 9), (3, 'c', 10), (2, 'b', 10)) t(k, v, s)"),
+    "span_plus": (span_plus, "SELECT n_nationkey, n_nationkey + 10 AS v FROM nation"),
+    "select_deferred_then_group": (deferred_then_grouped, "SELECT l_linenumber, count(l_orderkey) AS n FROM lineitem WHERE l_linenumber > 5 GROUP BY 1"),
+    "let_stats": (sym(H.Let(H.Group(OR, H.By(y("o_orderstatus")), As("n", H.Count(y("o_orderkey")))), H.Stats(0))), "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1"),
+    "interpolate_tree": (
+        lambda spark, d: evaluate(
+            H.Project(y("T"), As("k", y("k"), "v", H.Interpolate(y("p"), y("k")))), spark,
+            {"T": load(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey").cast("double")).alias("p"))},
+        ),
+        "SELECT o_orderkey AS k, coalesce(p, (lag(p) OVER w + lead(p) OVER w) / 2) AS v FROM (SELECT *, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey::DOUBLE END AS p FROM orders) WINDOW w AS (ORDER BY o_orderkey)",
+    ),
     "inline_table": (
         sym(H.Group(H.Table(H.NATION(H.List(H.Span(1, 2, 1), H.Span(2, 1, 1, 3))), H.YEAR(H.List(1985, 2035, 1800, 2035, 1800, 2035, 1985)), H.QUANTITY(H.List(17, 21, 8, 5, 8, 7, 3))), H.By(y("NATION"), y("YEAR")), As("n", H.Count(y("QUANTITY")), "s", H.Sum(y("QUANTITY")), "lo", H.Min(y("QUANTITY")), "hi", H.Max(y("QUANTITY"))))),
         'SELECT a AS "NATION", b AS "YEAR", count(*) AS n, CAST(sum(c) AS BIGINT) AS s, min(c) AS lo, max(c) AS hi FROM (VALUES (1,1985,17),(2,2035,21),(1,1800,8),(2,2035,5),(1,1800,8),(1,2035,7),(3,1985,3)) t(a,b,c) GROUP BY 1, 2',

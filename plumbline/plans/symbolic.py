@@ -6,7 +6,7 @@ those arguments evaluated that could be: nothing is raised for unknown heads, ta
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import relational as R
+from ..session import moved, with_conf
 from ..sources.catalog import table_literal
 from .settings import Settings
 
@@ -101,8 +102,8 @@ def compile_scalar(x: Any, df: DataFrame, env: Env) -> Any:
     """A Column over `df`, or the atom itself."""
     if isinstance(x, Sym):
         if x.name not in df.columns:
-            raise KeyError(f"in predicate: unknown symbol {x.name}_")
-        return df[x.name]
+            raise KeyError(f"unknown symbol in an expression: {x.name}")
+        return R.column(df, x.name)
     if atom(x) or isinstance(x, Column):
         return x
     if not isinstance(x, Node) or x.head not in SCALAR:
@@ -204,12 +205,22 @@ def indexed_table(args: tuple, env: Env) -> DataFrame:
 
 def relation(x: Any, env: Env) -> DataFrame:
     if isinstance(x, DataFrame):
-        return x
+        return moved(x, env.spark)
     if isinstance(x, Sym) and x.name in env.tables:
-        return env.tables[x.name]
+        return moved(env.tables[x.name], env.spark)
+    if (p := deferred(x)) is not None:
+        df = relation(x.args[0], env)
+        return R.select(df, predicate(p, df, env))
     raise NotReady(x)
 
 
+def deferred(x: Any) -> Any:
+    """The predicate of Gather(relation, Selection(predicate)), which a deferred Select comes out as; None for anything else."""
+    if isinstance(x, Node) and x.head == "Gather" and len(x.args) == 2 and isinstance(x.args[1], Node) and x.args[1].head == "Selection":
+        return x.args[1].args[0]
+    return None
+
+
 def by(node: Node) -> list[tuple[str, bool]]:
     """By(a, b, desc): the symbol desc belongs to the column before it."""
     out: list[tuple[str, bool]] = []
@@ -226,7 +237,7 @@ def aggregate(x: Any) -> tuple[Column, str]:
     if x == Sym("Count") or x == Node("Count") or x == Node("Count", (Sym("*"),)) or x == Node("Count", ("*",)):
         return F.count(F.lit(1)), "Count"
     if isinstance(x, Node) and x.head in R.AGGREGATES and len(x.args) == 1 and isinstance(x.args[0], Sym):
-        return R.AGGREGATES[x.head](F.col(f"`{x.args[0].name}`")), x.args[0].name
+        return R.AGGREGATES[x.head](F.col(R.quoted(x.args[0].name))), x.args[0].name
     raise NotReady(x)
 
 
@@ -243,11 +254,13 @@ def do_group(args: list, env: Env) -> DataFrame:
             c, n = aggregate(a)
             aggs[n] = c
     if not aggs:
-        raise ValueError("Group needs an aggregate")
+        raise ValueError("nothing to aggregate")
     for k in keys:
         if isinstance(k, str) and k not in df.columns:
-            raise KeyError(f"column name not in relation: {k}")
-    return R.group(df, keys, aggs)
+            raise KeyError(f"no such column: {k}")
+    if env.settings.options["GroupMode"] == "Sort" and keys:
+        df = df.sortWithinPartitions(*[R.column(df, k) for k in keys if isinstance(k, str)] or keys)
+    return R.group(df, [R.column(df, k) if isinstance(k, str) else k for k in keys], aggs)
 
 
 def do_join(head: str, args: list, env: Env) -> DataFrame:
@@ -261,7 +274,7 @@ def do_join(head: str, args: list, env: Env) -> DataFrame:
     for df, keys in ((left, sides[0]), (right, sides[1])):
         for k in keys:
             if k not in df.columns:
-                raise KeyError(f"column name not in relation: {k}")
+                raise KeyError(f"no such column: {k}")
     if head == "PartitionedJoin":
         return R.partitioned_join(left, right, sides[0][0], sides[1][0])
     return R.join(left, right, *sides)
@@ -290,13 +303,21 @@ def apply(head: str, args: list, env: Env) -> Any:
             return S.date_days(args[0])
         case "Select":
             df = relation(args[0], env)
-            return R.select(df, predicate(args[1], df, env))
+            p = predicate(args[1], df, env)
+            if env.settings.options["DeferGatherPhase"]:
+                return Node("Gather", (df, Node("Selection", (args[1],))))
+            return R.select(df, p)
         case "Project":
             df = relation(args[0], env)
-            out = {}
-            for n, x in pairs(args[1]):
+            out, named = {}, pairs(args[1])
+            for i, (n, x) in enumerate(named):  # a mean of neighbours needs the order of all rows, so it is a step of its own
+                if isinstance(x, Node) and x.head == "Interpolate" and all(isinstance(a, Sym) and a.name in df.columns for a in x.args):
+                    name = f"__interpolated_{i}"
+                    df = R.interpolate(df, x.args[0].name, x.args[-1].name, name)
+                    named[i] = (n, Sym(name))
+            for n, x in named:
                 if isinstance(x, Sym) and x.name not in df.columns:
-                    raise KeyError(f"column name not in relation: {x.name}")
+                    raise KeyError(f"no such column: {x.name}")
                 out[n] = S.as_column(compile_scalar(x, df, env))
             return R.project(df, out)
         case "Group":
@@ -307,8 +328,10 @@ def apply(head: str, args: list, env: Env) -> Any:
             return R.order(relation(args[0], env), by(args[1]))
         case "Top":
             return R.top(relation(args[0], env), by(args[1]), args[2])
-        case "Gather":  # row places are the filter's own business
-            return relation(args[0], env)
+        case "Gather":  # of given row places it is left as it is: rows have none here
+            node = Node(head, tuple(args))
+            if len(args) == 1 or deferred(node) is not None:
+                return relation(args[0] if len(args) == 1 else node, env)
         case "RadixPartition":
             df = relation(args[0], env)
             keys = [k.args[0].name for k in args[1:] if isinstance(k, Node) and k.head == "Partition" and k.args and isinstance(k.args[0], Sym)]
@@ -321,15 +344,21 @@ def apply(head: str, args: list, env: Env) -> Any:
     raise NotReady
 
 
+def configured(env: Env, settings: Settings) -> Env:
+    """The environment under these settings: with a session of their own where they ask for other Spark options."""
+    conf = settings.spark_conf()
+    return replace(env, settings=settings, spark=with_conf(env.spark, conf) if conf else env.spark)
+
+
 def walk(x: Any, env: Env) -> Any:
     if not isinstance(x, Node):
         return x
     if x.head == "Let":
         for option in x.args[1:]:
             if isinstance(option, Node) and option.head == "Parallel":
-                env.settings.options["Parallel"] = int(option.args[0])
+                env = configured(env, env.settings.with_parallel(int(option.args[0])))
             elif not (isinstance(option, Node) and option.head == "Stats"):
-                raise ValueError(f"Unexpected argument of 'Let' expression: {option}")
+                raise ValueError(f"Let has no option {option}")
         return walk(x.args[0], env)
     if x.head == "TableIndexed" and len(x.args) == 4:
         try:
@@ -348,7 +377,8 @@ def evaluate(
 ) -> Any:
     """Evaluate a tree. on_error="expr": an error becomes ErrorWhenEvaluatingExpression(expression, message)."""
     try:
-        return walk(x, Env(spark, tables or {}, settings or Settings(), literal_mode))
+        settings = settings or Settings()
+        return walk(x, configured(Env(spark, tables or {}, settings, literal_mode), settings))
     except Exception as e:
         if on_error == "raise":
             raise

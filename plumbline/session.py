@@ -6,7 +6,7 @@ import os
 import tempfile
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "plumbline", cores: str | int = "*", **conf: str) -> SparkSession:
@@ -20,6 +20,8 @@ def get_spark(app: str = "plumbline", cores: str | int = "*", **conf: str) -> Sp
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        # a join whose parts are all measured to be small is a hash join; others are sorted and merged, and can spill
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }.items():
@@ -52,3 +54,19 @@ def scoped_conf(spark: SparkSession, conf: dict[str, str]):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def with_conf(spark: SparkSession, conf: dict[str, str]) -> SparkSession:
+    """A session beside this one, with its options and these: what is planned in it keeps them, and the other never sees them."""
+    other = spark.newSession()
+    for k, v in {**spark.conf.getAll, **conf}.items():
+        if other.conf.isModifiable(k):
+            other.conf.set(k, v)
+    return other
+
+
+def moved(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """The same relation, planned by that session."""
+    if df.sparkSession is spark:
+        return df
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, df._jdf.queryExecution().analyzed()), spark)

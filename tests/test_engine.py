@@ -110,14 +110,15 @@ def test_joins(spark, lk, rk, want):
     for head in ("Join", "PartitionedJoin"):
         got = run(spark, Node(head, (y("L"), y("R"), H.Where(H.Equal(y("k"), y("o"))))), tables=t)
         assert sorted(r["k"] for r in got.collect()) == want and got.columns == ["k", "v", "o", "w"]
-    assert "ShuffledHashJoin" in R.partitioned_join(t["L"], t["R"], "k", "o")._jdf.queryExecution().toString() or not want
 
 
 def test_partitioned_inputs_and_gather(spark):
     t = {"L": table_literal(spark, {"k": [1, 2, 3, 4]}), "R": table_literal(spark, {"o": [2, 4, 6]})}
     part = lambda n, k: H.RadixPartition(y(n), H.Partition(y(k)))
     got = run(spark, H.Join(part("L", "k"), part("R", "o"), H.Where(H.Equal(y("k"), y("o")))), tables=t)
-    assert rows(got) == [(2, 2), (4, 4)] and rows(run(spark, H.Gather(y("R"), H.List(0)), tables=t)) == [(2,), (4,), (6,)]
+    assert rows(got) == [(2, 2), (4, 4)] and run(spark, H.Gather(y("none"), H.List(0))) == H.Gather(y("none"), H.List(0))
+    left = run(spark, H.Gather(y("R"), H.List(0)), tables=t)  # of row places it is left to others
+    assert isinstance(left, Node) and left.head == "Gather"
     grouped = R.group(R.partition(t["L"], "k", 3), ["k"], {"n": F.count("k")})
     assert grouped._jdf.queryExecution().toString().count("Exchange hashpartitioning") <= 2 and grouped.count() == 4
     assert run(spark, H.RadixPartition(y("none"))) == H.RadixPartition(y("none"))
@@ -160,7 +161,7 @@ def test_errors(spark):
     with pytest.raises(KeyError, match="unknown symbol"):
         run(spark, bad)
     assert run(spark, bad, on_error="expr").head == "ErrorWhenEvaluatingExpression"
-    with pytest.raises(ValueError, match="Unexpected argument"):
+    with pytest.raises(ValueError, match="Let has no option"):
         run(spark, H.Let(VALUE, H.Other(1)))
     with pytest.raises(ValueError, match="unknown select mode"):
         run(spark, H.Set(y("SelectMode"), y("Nope")))
@@ -168,15 +169,159 @@ def test_errors(spark):
 
 @pytest.mark.parametrize("mode", [("SelectMode", "Branch"), ("PartitionMode", "RadixBitsFixedMin"), ("GroupMode", "Sort"), ("GroupMode", "Hash"), ("RadixJoinMinPartitionSize", 10), ("DeferGatherPhase", True)])
 def test_modes_keep_answers(spark, mode):
-    from plumbline.session import scoped_conf
-
     s = Settings()
     assert run(spark, H.Set(y(mode[0]), mode[1] if not isinstance(mode[1], str) else y(mode[1])), settings=s) is True
-    with scoped_conf(spark, s.spark_conf()):
-        got = rows(run(spark, H.Group(H.Select(VALUE2, H.Where(H.Greater(y("Value1"), 0))), H.By(y("Value1")), H.As(y("s"), H.Sum(y("Value2")))), settings=s))
+    got = rows(run(spark, H.Group(H.Select(VALUE2, H.Where(H.Greater(y("Value1"), 0))), H.By(y("Value1")), H.As(y("s"), H.Sum(y("Value2")))), settings=s))
     assert got == [(1, 8), (3, 2), (4, 4), (5, 1)]
 
 
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def grouped(by="k"):
+    return H.Group(y("T"), H.By(y(by)), H.As(y("s"), H.Sum(y("v"))))
+
+
+@pytest.fixture
+def many(spark):
+    return {"T": spark.range(5000).select((F.col("id") % 50).alias("k"), F.col("id").alias("v"))}
+
+
+def test_sort_mode_sorts_and_hash_mode_hashes(spark, many):
+    s = Settings()
+    s.put("GroupMode", "Sort")
+    plan = plan_of(run(spark, grouped(), tables=many, settings=s))
+    assert "SortAggregate" in plan and "SortAggregate" not in plan_of(run(spark, grouped(), tables=many))
+    assert rows(run(spark, grouped(), tables=many, settings=s)) == rows(run(spark, grouped(), tables=many))
+
+
+def test_parallel_counts_for_its_tree_only(spark, many):
+    s, before = Settings(), spark.conf.get("spark.sql.shuffle.partitions")
+    assert run(spark, H.Let(grouped(), H.Parallel(7)), tables=many, settings=s).rdd.getNumPartitions() == 7
+    assert s.options["Parallel"] == 1 and spark.conf.get("spark.sql.shuffle.partitions") == before != "7"
+    assert "hashpartitioning(k#" in (plan := plan_of(run(spark, grouped(), tables=many, settings=s))) and f", {before})" in plan
+    inner = run(spark, H.Join(H.Let(grouped(), H.Parallel(3)), H.Project(y("T"), H.As(y("j"), y("k"), y("w"), y("v"))), H.Where(H.Equal(y("k"), y("j")))), tables=many)
+    assert inner.count() == 5000 and inner.sparkSession is spark
+
+
+def test_partition_settings_reach_the_plan(spark, many):
+    s = Settings()
+    s.put("PartitionMode", "RadixBitsFixedMax")
+    assert run(spark, grouped(), tables=many, settings=s).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = Settings()
+    s.put("RadixJoinMinPartitionSize", 10)
+    df = run(spark, grouped(), tables=many, settings=s)
+    assert df.sparkSession.conf.get("spark.sql.adaptive.coalescePartitions.minPartitionSize") == "640" and df.count() == 50
+
+
+def test_deferred_select(spark):
+    s = Settings()
+    s.put("DeferGatherPhase", True)
+    t = H.Select(VALUE, H.Where(H.Greater(y("Value"), 3)))
+    got = run(spark, t, settings=s)
+    assert isinstance(got, Node) and got.head == "Gather" and got.args[0].columns == ["Value"] and got.args[1].head == "Selection"
+    assert rows(run(spark, got)) == [(4,), (5,)]  # taken up without the setting
+    assert rows(run(spark, H.Project(t, H.As(y("v"), H.Plus(y("Value"), 1))), settings=s)) == [(5,), (6,)]
+
+
+def test_names_with_signs(spark):
+    t = {"T": spark.createDataFrame([(1, 2, 3), (4, 5, 6)], "`a.b` int, `c d` int, `e``f` int"), "U": spark.createDataFrame([(4, 9)], "`a.b` int, `x.y` int")}
+    got = run(spark, H.Project(H.Select(y("T"), H.Where(H.Greater(y("a.b"), 1))), H.As(y("s.t"), H.Plus(y("a.b"), y("c d"), y("e`f")))), tables=t)
+    assert got.columns == ["s.t"] and rows(got) == [(15,)]
+    assert rows(run(spark, H.Join(y("T"), y("U"), H.Where(H.Equal(y("a.b"), y("a.b")))), tables=t)) == [(4, 5, 6, 9)]
+    assert rows(run(spark, H.Group(y("T"), H.By(y("a.b")), H.As(y("m.n"), H.Max(y("c d")))), tables=t)) == [(1, 2), (4, 5)]
+    assert [r[0] for r in run(spark, H.Order(y("T"), H.By(y("a.b"), y("desc"))), tables=t).collect()] == [4, 1]
+
+
+@pytest.mark.parametrize("stretches", [2, 5, 300])
+def test_interpolate_in_stretches(spark, stretches):
+    import random
+
+    r = random.Random(stretches)
+    data = [(i, None if r.random() < 0.4 else float(r.randint(0, 99)), f"n{i}") for i in r.sample(range(10_000), 400)]
+    df = spark.createDataFrame(data, "k int, p double, `__s` string").withColumnRenamed("__s", "note").repartition(4)
+    p = [x[1] for x in sorted(data)]
+    at = lambda i: p[i] if 0 <= i < len(p) else None
+    mean = lambda a, b: None if a is None or b is None else (a + b) / 2
+    want = [(x[0], x[1] if x[1] is not None else mean(at(i - 1), at(i + 1))) for i, x in enumerate(sorted(data))]
+    got = R.interpolate(df, "p", "k", "v", stretches)
+    assert got.columns == ["k", "p", "note", "v"] and sorted((x["k"], x["v"]) for x in got.collect()) == want
+    assert R.interpolate(df.limit(0), "p", "k", "v", stretches).count() == 0
+
+
+def d_tables(spark):
+    """The four-row tables of the fixtures."""
+    day = lambda *x: [S.date_days(i) for i in x]
+    t = {
+        "nation": {"n_nationkey": [1, 2, 3, 4], "n_regionkey": [1, 1, 2, 3], "n_name": ["ALGERIA", "ARGENTINA", "BRAZIL", "CANADA"]},
+        "part": {"p_partkey": [4, 3, 2, 1], "p_retailprice": [100.01] * 4, "p_name": ["spring green yellow purple cornsilk", "cornflower chocolate smoke green pink", "moccasin green thistle khaki floral", "green blush tomato burlywood seashell"]},
+        "supplier": {"s_suppkey": [1, 4, 2, 3], "s_nationkey": [1, 1, 2, 3]},
+        "partsupp": {"ps_partkey": [1, 2, 3, 4], "ps_suppkey": [1, 2, 3, 4], "ps_supplycost": [771.64, 993.49, 337.09, 357.84]},
+        "customer": {"c_custkey": [4, 7, 1, 4], "c_nationkey": [3, 3, 1, 4], "c_acctbal": [711.56, 121.65, 7498.12, 2866.83], "c_name": [f"Customer#00000000{i}" for i in (1, 2, 3, 4)], "c_mktsegment": ["AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "BUILDING"]},
+        "orders": {"o_orderkey": [1, 0, 2, 3], "o_custkey": [4, 7, 1, 4], "o_totalprice": [178821.73, 154260.84, 202660.52, 155680.60], "o_orderdate": day("1998-01-24", "1992-05-01", "1992-12-21", "1994-06-18"), "o_shippriority": [1] * 4},
+        "lineitem": {
+            "l_orderkey": [1, 1, 2, 3], "l_partkey": [1, 2, 3, 4], "l_suppkey": [1, 2, 3, 4], "l_returnflag": list("NNAA"), "l_linestatus": list("OOFF"), "l_quantity": [17, 21, 8, 5],
+            "l_extendedprice": [17954.55, 34850.16, 7712.48, 25284.0], "l_discount": [0.10, 0.05, 0.06, 0.06], "l_tax": [0.02, 0.06, 0.02, 0.06], "l_shipdate": day("1992-03-13", "1994-04-12", "1996-02-28", "1994-12-31"),
+        },
+    }
+    return {n: table_literal(spark, c, {k: "bigint" for k in c if k.endswith("key") or k == "l_quantity"}) for n, c in t.items()}
+
+
+def test_tpch_trees(spark):
+    from plumbline.plans import tpch as T
+
+    t = d_tables(spark)
+    got = lambda tree: [tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in run(spark, tree, tables=t).collect()]
+    day = S.date_days
+    assert got(T.q1_tree("1998-08-31")) == [
+        ("A", "F", 13, 32996.48, 31016.6912, 32587.703424, 6.5, 16498.24, 0.06, 2), ("N", "O", 38, 52804.71, 49266.747, 51576.38802, 19.0, 26402.355, 0.075, 2),
+    ]
+    assert got(T.q6_tree("1993-12-31", "1995-01-01")) == [(3259.548,)]
+    assert got(T.q3_tree("1995-03-15", "1993-03-15", ("l_orderkey", "o_orderdate", "o_shippriority"))) == [(3, day("1994-06-18"), 1, 23766.96)]
+    costs, keys = H.Join(T.parts_named("green"), y("partsupp"), H.Where(H.Equal(y("p_partkey"), y("ps_partkey")))), (("ps_partkey", "ps_suppkey"), ("l_partkey", "l_suppkey"))
+    assert got(T.q9_tree(costs, *keys)) == [("ALGERIA", 1998, 3041.215), ("ALGERIA", 1994, 21977.76), ("ARGENTINA", 1998, 12244.362), ("BRAZIL", 1992, 4553.0112)]
+    assert got(T.q9_tree(costs, *keys, "n_regionkey")) == [(1, 1998, 15285.577), (1, 1994, 21977.76), (2, 1992, 4553.0112)]
+    c = lambda i: f"Customer#00000000{i}"
+    want = [(c(3), 1, 2, day("1992-12-21"), 202660.52, 8), (c(1), 4, 1, day("1998-01-24"), 178821.73, 38), (c(4), 4, 1, day("1998-01-24"), 178821.73, 38), (c(1), 4, 3, day("1994-06-18"), 155680.6, 5), (c(4), 4, 3, day("1994-06-18"), 155680.6, 5)]
+    assert sorted(got(T.q18_tree(1))) == sorted(want) and [x[4] for x in got(T.q18_tree(1))] == [x[4] for x in want]
+    of = {c(1): 711.56, c(3): 7498.12, c(4): 2866.83}
+    assert sorted(got(T.q18_tree(1, "c_acctbal"))) == sorted((of[x[0]], *x[1:]) for x in want)
+
+
+def test_int_keys_meet_bigint_keys(spark):
+    t = {"L": table_literal(spark, {"k": [1, 2, 3]}), "R": table_literal(spark, {"o": [2, 3, 2**40]})}
+    assert t["L"].dtypes == [("k", "int")] and t["R"].dtypes == [("o", "bigint")]
+    for head in ("Join", "PartitionedJoin"):
+        assert rows(run(spark, Node(head, (y("L"), y("R"), H.Where(H.Equal(y("k"), y("o"))))), tables=t)) == [(2, 2), (3, 3)]
+        assert rows(run(spark, Node(head, (y("R"), y("L"), H.Where(H.Equal(y("o"), y("k"))))), tables=t)) == [(2, 2), (3, 3)]
+
+
+def test_entry_without_the_text_operators(monkeypatch):
+    """A package that the text operators need and that is missing leaves the engine's queries."""
+    import sys
+
+    import __spark_entry__ as E
+
+    for name in [m for m in sys.modules if m.startswith("plumbline.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert "q1" in E.queries() and "pipeline" not in E.queries() and "q1" in E.oracle_sql()
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from plumbline.session import shared_dir
+
+    assert shared_dir(spark)
+    unset = SimpleNamespace(get=lambda *_: None)
+    far = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: unset))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(far)
+
+
 def test_order_top_strings(spark):
     p = H.Table(H.ID(H.List(1, 2, 3)), H.LastName(H.DictionaryEncodedList(H.List(0, 8, 14, 20), "McCarthyMaddenLiskov")), H.Index(H.List(1)))
     assert [r["ID"] for r in run(spark, H.Sort(p, H.By(y("LastName")))).collect()] == [3, 2, 1]
