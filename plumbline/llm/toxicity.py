@@ -27,7 +27,7 @@ import os
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -308,9 +308,9 @@ def sketch(text: str) -> list[int]:
     return out
 
 
-def one_of_each(rows: list[tuple[float, list[int], list[str]]]) -> list[tuple[float, list[str]]]:
+def one_of_each(rows: Iterable[tuple[float, list[int], list[str]]]) -> Iterator[tuple[float, list[str]]]:
     """(kind, words) of the rows, without those that are near copies of one before of the same kind."""
-    seen, out = {}, []
+    seen: dict[tuple, int] = {}
     for number, (kind, marks, words) in enumerate(rows):
         keys = [(kind, i, x) for i, x in enumerate(marks)]
         met = Counter(seen[k] for k in keys if k in seen)
@@ -318,30 +318,30 @@ def one_of_each(rows: list[tuple[float, list[int], list[str]]]) -> list[tuple[fl
             continue
         for k in keys:
             seen.setdefault(k, number)
-        out.append((kind, words))
-    return out
+        yield kind, words
 
 
-def learn(model: CharModel, rows: list[tuple[float, list[int], list[str]]]) -> Scorer:
-    """The scorer from (1 or 0, sketch, restored words) of labelled texts."""
-    if not rows:
-        return Scorer(model, {}, 0.0)
-    if len({k for k, _, _ in rows}) == 1:
-        return Scorer(model, {}, float(rows[0][0]))
+def learn(model: CharModel, rows: Iterable[tuple[float, list[int], list[str]]]) -> Scorer:
+    """The scorer from (1 or 0, sketch, restored words) of labelled texts, read once."""
     vocabulary, docs, kinds = {}, [], []
     for kind, w in one_of_each(rows):  # documents as numbers of their words
         docs.append(np.fromiter((vocabulary.setdefault(x, len(vocabulary)) for x in w), np.int32))
         kinds.append(kind)
+    if len(set(kinds)) < 2:
+        return Scorer(model, {}, float(kinds[0]) if kinds else 0.0)
     words = list(vocabulary)
     del vocabulary
     rate = sum(kinds) / len(kinds)
     # signs of every word, as numbers; how many texts each is in
     signs: dict[str, int] = {}
-    of_word = [np.array([signs.setdefault(f, len(signs)) for f in features({w})], np.int32) for w in words]
+    per = [[signs.setdefault(f, len(signs)) for f in features({w})] for w in words]
+    ends = np.cumsum([0, *map(len, per)])
+    flat = np.fromiter((i for p in per for i in p), np.int32, ends[-1])
+    del per, words
     every, toxic = np.zeros(len(signs), np.int32), np.zeros(len(signs), np.int32)
     in_doc = []
     for d, kind in zip(docs, kinds, strict=True):
-        held = np.unique(np.concatenate([of_word[i] for i in d.tolist()])) if len(d) else np.zeros(0, np.int32)
+        held = np.unique(np.concatenate([flat[ends[i] : ends[i + 1]] for i in d.tolist()])) if len(d) else np.zeros(0, np.int32)
         every[held] += 1
         toxic[held] += int(kind)
         in_doc.append(held)
@@ -370,7 +370,7 @@ def learn(model: CharModel, rows: list[tuple[float, list[int], list[str]]]) -> S
 
 
 def restored(docs: DataFrame, model: CharModel) -> DataFrame:
-    """(y, sketch, words) of rows (text, y)."""
+    """y, a hash of the text, its sketch and its restored words, of rows (text, y)."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -379,9 +379,10 @@ def restored(docs: DataFrame, model: CharModel) -> DataFrame:
         for b in batches:
             for lo in range(0, len(b), 256):
                 part = b.iloc[lo : lo + 256]
-                yield pd.DataFrame({"y": part["y"], "marks": [sketch(t) for t in part["text"]], "words": [sorted(restore.words(t)) for t in part["text"]]})
+                yield pd.DataFrame({"y": part["y"], "h": part["h"], "marks": [sketch(t) for t in part["text"]], "words": [sorted(restore.words(t)) for t in part["text"]]})
 
-    return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("double").alias("y")).mapInPandas(run, "y double, marks array<long>, words array<string>")
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("double").alias("y"), F.xxhash64("text").alias("h"))
+    return rows.mapInPandas(run, "y double, h long, marks array<long>, words array<string>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "toxic") -> Scorer:
@@ -392,9 +393,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str
     model = CharModel(counts)
     chosen = labels.filter(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
     rows = docs.select(id_col, "text").join(chosen.hint("broadcast"), id_col).select("text", "y").limit(2 * sample)
-    # one text at a time, so that a word's letters never come from what a worker read before; in an order of their own
-    got = sorted((r["y"], list(r["marks"]), list(r["words"])) for r in restored(rows, model).toLocalIterator())
-    return learn(model, got)
+    # in an order of their own, so that which near copy is learned from doesn't hang on how rows are dealt
+    got = restored(rows, model).orderBy("y", "h")
+    return learn(model, ((r["y"], r["marks"], r["words"]) for r in got.toLocalIterator()))
 
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", name: str = "score") -> DataFrame:
