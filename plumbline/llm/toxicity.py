@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, quoted, ship
+from .common import crc_mod, quoted, ship, table
 from .tokens import slices
 
 #: Letters of the character model; 0 is the word boundary, and the last code is any other letter.
@@ -393,8 +393,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str
     model = CharModel(counts)
     chosen = labels.filter(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
     rows = docs.select(id_col, "text").join(chosen.hint("broadcast"), id_col).select("text", "y").limit(2 * sample)
+    rows = rows.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # a limit leaves them in one task
     # in an order of their own, so that which near copy is learned from doesn't hang on how rows are dealt
-    got = restored(rows, model).orderBy("y", "h")
+    got = table(restored(rows, model), "labelled-words").orderBy("y", "h")
     return learn(model, ((r["y"], r["marks"], r["words"]) for r in got.toLocalIterator()))
 
 
