@@ -148,7 +148,7 @@ DOMAINS = tuple((f"src{i}", f"domain{i // 5}") for i in range(20))
 
 
 def domain_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DOMAINS, "source string, domain string")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, DOMAINS))} AS t(source, domain)")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
