@@ -8,7 +8,7 @@ A document (its ids, then the end id) first gives whole sequences. What remains
 `waste` of a sequence; otherwise the largest reciprocal part capacity/(k+1), which k+1 of its kind fill exactly, is cut off, and so
 on with the rest. So padding is at most `waste` in every sequence of a class.
 
-What a worker can't fill, under k pieces of class k, is filled among the workers of a group of GROUP, each class by itself, then
+What a worker can't fill, under k pieces of class k, is filled among the workers of a group of GROUP, the classes dealt over PARTS tasks, then
 among those groups, until one is left; then the last pieces of all classes, a number bounded by the classes alone (fewer than one
 sequence each), are packed in one task, best fit, largest first. Each round reads a table in the shared folder, so a lost executor
 repeats its own tasks only.
@@ -32,6 +32,8 @@ from .tokens import cuts, word_bpe
 
 #: Workers whose leftovers are filled together in one round.
 GROUP = 64
+#: Parts that the classes of such a group are dealt over; a class is never split.
+PARTS = 32
 #: The sequence_id of a piece that has none yet.
 OPEN = -1
 
@@ -143,8 +145,8 @@ def pack(
     def filler(level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
         def run(g: pd.DataFrame) -> pd.DataFrame:
             worker = int(g["worker"].iloc[0]) // GROUP
-            # ids of its own for each round, group and class; a class of a group fills fewer than GROUP sequences
-            fill, out = Filler((level << 56) | (worker << 33) | (0 if last else int(g["class"].iloc[0]) << 16)), []
+            # ids of its own for each round, group and part; a class of a group fills fewer than GROUP sequences
+            fill, out = Filler((level << 56) | (worker << 33) | (0 if last else int(g["class"].iloc[0]) % PARTS << 24)), []
             for r in g.sort_values(["worker", "start", "length", "doc_id"], kind="stable")[names].itertuples(index=False):
                 out += fill.add(list(r))
             out += fill.best_fit(capacity) if last else [[OPEN, OPEN, *r[2:]] for r in fill.rest()]
@@ -157,7 +159,7 @@ def pack(
     while True:
         level += 1
         last = level > 1 and workers == 1
-        made = left.withColumn("__g", F.floor(F.col("worker") / GROUP)).groupBy("__g", *([] if last else ["class"])).applyInPandas(filler(level, last), schema)
+        made = left.withColumns({"__g": F.floor(F.col("worker") / GROUP), "__c": F.lit(0) if last else F.col("class") % PARTS}).groupBy("__g", "__c").applyInPandas(filler(level, last), schema)
         made = table(made, f"pieces-{level}")
         done = done.unionByName(made.filter("sequence_id >= 0"))
         if last:
