@@ -71,6 +71,17 @@ def table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, like: DataFrame) -> DataFrame:
+    """`df` in at most twice the parts that a scan of the written table `like` has, or two a core where that is more.
+
+    For tables of keys and numbers made out of `like` by shuffles: their parts grow with the data, and not with the number of
+    shuffle partitions, which may be far more than there is to write. Each file costs an executor that writes to a local file
+    system three processes, started to set modes.
+    """
+    n = max(like._jdf.queryExecution().toRdd().getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+    return df.coalesce(2 * n)
+
+
 def scans_files(df: DataFrame) -> bool:
     """Whether the rows come straight from files, filtered or not, so that each has a file and a row number there."""
     plan = df._jdf.queryExecution().analyzed()

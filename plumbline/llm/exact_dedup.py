@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import at_exit, file_system, fresh_path, has_rows, noted, quoted, same, scans_files, small, table, text_of, unused
+from .common import at_exit, file_system, fresh_path, has_rows, noted, packed, quoted, same, scans_files, small, table, text_of, unused
 
 #: Digests with a hit that are sent to every task, at most; 64 characters each.
 SENT = 500_000
@@ -126,7 +126,7 @@ def collisions(texts: DataFrame, log: DataFrame, state: KeyedState, text_col: st
         known = table(known.join(log.select("digest").distinct(), "digest", "left_semi"), "earlier-hits")
         earlier = texts_at(spark, known, text_col)
         hits = hits.unionByName(known.select("digest")).distinct()
-    hits = table(hits, "hits")
+    hits = table(packed(hits, log), "hits")
     few = hits.limit(SENT + 1).count() <= SENT
     if few:  # only texts with a hit leave their task
         texts = texts.join(hits.hint("broadcast"), "digest", "left_semi")
@@ -165,7 +165,7 @@ def deduplicate(
     else:
         rows = rows.withColumn(k, F.col(d))
         state.take(log.withColumnRenamed("digest", "key"))
-    entries = table(state.entries(), "state-entries").select(F.col("key").alias(of), F.col("n").alias(n), F.col("stays").alias(stays))
+    entries = table(packed(state.entries(), log), "state-entries").select(F.col("key").alias(of), F.col("n").alias(n), F.col("stays").alias(stays))
     result = [F.col(f"{stays}.id").alias("keep_id"), F.col(n).alias("group_size"), F.expr(f"{stays} <=> {a}").alias("kept"), F.col("text_sha256")]
     return rows.drop(of, ref).join(entries, F.col(k) == F.col(of)).select(*out, *result)
 

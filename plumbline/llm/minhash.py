@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted, ship, small, table, unused
+from .common import packed, quoted, ship, small, table, unused
 from .components import components
 from .tokens import cuts
 
@@ -207,7 +207,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def with_texts(wanted: DataFrame, number: str, rows: DataFrame) -> DataFrame:
     """The rows of a written table with the texts of the numbers in them; no other texts move where those are few."""
-    few = table(wanted.select(F.col(number).alias("u")).distinct(), "texts-wanted")
+    few = wanted.select(F.col(number).alias("u")).distinct()
     texts = rows.select(F.col("v").alias("tv"), "text").join(small(few, SENT), F.col("tv") == F.col("u"), "left_semi")
     return wanted.join(texts, F.col(number) == F.col("tv")).drop("tv")
 
@@ -218,9 +218,9 @@ def confirm(pairs: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
     A text is fetched once for each of its pairs as b, and as a once for each of at most SPREAD parts of its partners.
     """
     ship(pairs.sparkSession)
-    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).alias("part"))
+    pairs = table(packed(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).alias("part")), rows), "pairs")
     wanted = pairs.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("w")).distinct().unionByName(pairs.select("a", "part", "b", F.col("b").alias("w")))
-    sent = with_texts(table(wanted, "pairs"), "w", rows).select("a", "part", "b", "text")
+    sent = with_texts(wanted, "w", rows).select("a", "part", "b", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, at, own = Shingler(rule.size), None, None
@@ -295,10 +295,10 @@ def block_links(rows: DataFrame, rule: Rule) -> DataFrame:
 
 def links_between(members: DataFrame, label: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): links between different components, in buckets with more than one component left."""
-    named = members.join(label, F.col("v") == F.col("lv"), "left").select("key", "m", "v", "n", "planes", F.coalesce("label", "v").alias("label"))
-    named = table(named, "bucket-labels")
-    mixed = named.groupBy(F.col("key").alias("mkey")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("mkey")
-    rest = table(named.join(mixed, F.col("key") == F.col("mkey"), "left_semi"), "bucket-rest")
+    name = lambda m: m.join(label, F.col("v") == F.col("lv"), "left").withColumn("label", F.coalesce("label", "v")).drop("lv")
+    mixed = name(members.select("key", "v")).groupBy(F.col("key").alias("mkey")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("mkey")
+    rest = name(members.select("key", "m", "v", "n", "planes").join(mixed, F.col("key") == F.col("mkey"), "left_semi"))
+    rest = table(packed(rest, members), "bucket-rest")
     few = rest.filter(F.col("m") <= LARGE)
     l, r = (few.select(*[F.col(c).alias(f"{c}{x}") for c in few.columns]) for x in "ab")
     near = l.join(r, (F.col("keya") == F.col("keyb")) & (F.col("va") < F.col("vb")) & (F.col("labela") != F.col("labelb")) & may_link(("na", "nb"), ("planesa", "planesb"), rule))
@@ -317,20 +317,20 @@ def cluster_numbered(rows: DataFrame, rule: Rule) -> DataFrame:
     # classes of equal sets
     best = F.struct(F.col("id").isNull().alias("none"), "id", "v")
     reps = s.filter("n > 0").groupBy("digest").agg(F.min("v").alias("v"), F.min(best).alias("best"), F.first("n").alias("n"), F.first("planes").alias("planes"), F.first("bands").alias("bands"))
-    reps = table(reps, "classes")
+    reps = table(packed(reps, s), "classes")
     exploded = reps.select("v", F.explode("bands").alias("key"))
     counts = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members = table(exploded.join(counts, "key"), "bucket-keys")
+    members = table(packed(exploded.join(counts, "key"), s), "bucket-keys")
     weighed = members.groupBy(F.col("v").alias("wv")).agg(F.sum("m").alias("weight")).join(reps.select("v", "n", "planes"), F.col("wv") == F.col("v")).drop("v")
-    members = table(members.join(weighed, F.col("v") == F.col("wv")).drop("wv"), "bucket-members")
+    members = table(packed(members.join(weighed, F.col("v") == F.col("wv")).drop("wv"), s), "bucket-members")
     # every member against its bucket's hub; the hub's signature goes to each salt of its bucket
     hubs = members.groupBy(F.col("key").alias("hkey")).agg(F.max(F.struct("weight", "v", "n", "planes")).alias("hub"), F.max("m").alias("hm"))
     hubs = hubs.select("hkey", F.col("hub.v").alias("a"), F.col("hub.n").alias("hn"), F.col("hub.planes").alias("hplanes"), F.explode(F.sequence(F.lit(0), F.floor((F.col("hm") - 1) / CHUNK).cast("int"))).alias("hsalt"))
     salted = members.withColumn("salt", F.pmod(F.xxhash64("v"), F.floor((F.col("m") - 1) / CHUNK) + 1).cast("int"))
     star = salted.join(hubs, (F.col("key") == F.col("hkey")) & (F.col("salt") == F.col("hsalt"))).filter((F.col("v") != F.col("a")) & may_link(("n", "hn"), ("planes", "hplanes"), rule))
-    links = table(confirm(star.select("a", F.col("v").alias("b")).distinct(), rows, rule), "links-star")
+    links = table(packed(confirm(star.select("a", F.col("v").alias("b")).distinct(), rows, rule), rows), "links-star")
     label = components(links).select(F.col("v").alias("lv"), F.col("component").alias("label"))
-    links = table(links.unionByName(links_between(members, label, rows, rule)), "links")
+    links = table(packed(links.unionByName(links_between(members, label, rows, rule)), rows), "links")
     final = components(links).select(F.col("v").alias("lv"), F.col("component").alias("root"))
     named = reps.select("digest", "v", "best").join(final, F.col("v") == F.col("lv"), "left").select(F.col("digest").alias("cd"), F.coalesce("root", "v").alias("root"), "best")
     of = named.groupBy(F.col("root").alias("r")).agg(F.min("best").alias("first"))

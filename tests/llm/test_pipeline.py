@@ -80,6 +80,30 @@ def test_no_labels_reject_nothing_but_the_letterless(spark):
     assert [r["doc_id"] for r in P.languages(spark, docs, D).collect()] == [1]
 
 
+def test_files_grow_with_the_data_and_not_with_the_partitions(spark, monkeypatch):
+    """Tables between the steps of the dedup stages, at many shuffle partitions with little in each."""
+    from plumbline.llm import exact_dedup, minhash
+    from plumbline.session import scoped_conf
+
+    files, write = {}, P.table
+
+    def noting(df, name, path=None):
+        out = write(df, name, path)
+        files[name] = len(out.inputFiles())
+        return out
+
+    docs = write(spark.read.parquet(f"{D}/documents.parquet").coalesce(1), "test-docs")
+    monkeypatch.setattr(exact_dedup, "table", noting)
+    monkeypatch.setattr(minhash, "table", noting)
+    with scoped_conf(spark, {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        once = write(P.exact(spark, docs, D), "test-once")
+        rows = [(r["doc_id"], r["text"]) for r in once.collect()]
+        kept = {r["doc_id"] for r in P.near(spark, once.coalesce(1), D).collect()}
+    assert kept == {i for i, _, c in brute(rows, 5, 80) if i == c}
+    assert {"hits", "state-entries", "classes", "bucket-keys", "bucket-members", "pairs", "links-star", "links"} <= set(files)
+    assert max(files.values()) <= 2 * spark.sparkContext.defaultParallelism, files
+
+
 def test_runs_delete_their_own_tables_only(spark):
     """Two runs at a time in one driver."""
     from concurrent.futures import ThreadPoolExecutor
